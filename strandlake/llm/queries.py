@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandlake.llm.exact_dedup import exact_copies
+from strandlake.llm.sharding import shard_rows
+from strandlake.llm.simhash_dedup import near_copies
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +18,25 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shard_rows(_table(spark, sf_dir, "documents"), 16)
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return dealt.select(
+        "doc_id",
+        (F.octet_length(body) + 1).cast("long").alias("size"),
+        F.crc32(body).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op9_simhash_dedup": op9_simhash_dedup}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
