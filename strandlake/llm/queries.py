@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.exact_dedup import exact_copies
+from strandlake.llm.quality import quality_scores
 from strandlake.llm.sharding import shard_rows
 from strandlake.llm.simhash_dedup import near_copies
 
@@ -32,11 +33,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op9_simhash_dedup": op9_simhash_dedup}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_sharding, op5_quality_classifier, op9_simhash_dedup)
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
