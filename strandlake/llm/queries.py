@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.exact_dedup import exact_copies
+from strandlake.llm.langid import language_ids
 from strandlake.llm.quality import quality_scores
 from strandlake.llm.sharding import shard_rows
 from strandlake.llm.simhash_dedup import near_copies
@@ -37,13 +38,17 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ids(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_sharding, op5_quality_classifier, op9_simhash_dedup)
+    for f in (op1_exact_dedup, op2_sharding, op5_quality_classifier, op8_language_id, op9_simhash_dedup)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
