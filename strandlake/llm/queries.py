@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.exact_dedup import exact_copies
 from strandlake.llm.langid import language_ids
+from strandlake.llm.packing import pack_documents
 from strandlake.llm.quality import quality_scores
 from strandlake.llm.sharding import shard_rows
 from strandlake.llm.simhash_dedup import near_copies
@@ -38,6 +39,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +55,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_sharding, op5_quality_classifier, op8_language_id, op9_simhash_dedup)
+    for f in (op1_exact_dedup, op2_sharding, op5_quality_classifier, op6_packing, op8_language_id, op9_simhash_dedup)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
