@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm.decontamination import find_leaks
 from strandlake.llm.exact_dedup import exact_copies
 from strandlake.llm.langid import language_ids
 from strandlake.llm.packing import pack_documents
@@ -45,6 +46,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_sharding, op5_quality_classifier, op6_packing, op8_language_id, op9_simhash_dedup)
+    for f in (op1_exact_dedup, op2_sharding, op5_quality_classifier, op6_packing, op7_decontamination, op8_language_id, op9_simhash_dedup)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
