@@ -12,6 +12,7 @@ from strandlake.llm.packing import pack_documents
 from strandlake.llm.quality import quality_scores
 from strandlake.llm.sharding import shard_rows
 from strandlake.llm.simhash_dedup import near_copies
+from strandlake.llm.url_filter import PATTERN_RULES, judge_urls
 from strandlake.llm.warc import archive_round_trip
 
 
@@ -63,13 +64,19 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_sharding, op4_warc, op5_quality_classifier, op6_packing, op7_decontamination, op8_language_id, op9_simhash_dedup)
+    for f in (op1_exact_dedup, op2_sharding, op4_warc, op5_quality_classifier, op6_packing, op7_decontamination, op8_language_id, op9_simhash_dedup, op10_url_filter)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_BLOCKED = "|".join(f"({pattern})" for pattern, _ in PATTERN_RULES)
+
 ORACLE_SQL = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS body FROM documents)
@@ -83,4 +90,22 @@ ORACLE_SQL = {
                CASE WHEN n >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND first <> page_id THEN first END AS refers_to
         FROM g""",
+    "op10_url_filter": f"""
+        WITH u AS (
+            SELECT page_id, coalesce(url, '') AS url,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS raw_host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages
+        ),
+        h AS (SELECT *, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
+        r AS (SELECT *, CASE
+            WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+            WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+            WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+            WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+            WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule FROM h)
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+                    WHEN regexp_matches(lower(url), '{_BLOCKED}') THEN 'block' ELSE 'allow' END AS verdict
+        FROM r""",
 }
