@@ -10,6 +10,7 @@ from strandlake.llm.exact_dedup import exact_copies
 from strandlake.llm.langid import language_ids
 from strandlake.llm.packing import pack_documents
 from strandlake.llm.quality import quality_scores
+from strandlake.llm.secret_scan import scan_secrets
 from strandlake.llm.sharding import shard_rows
 from strandlake.llm.simhash_dedup import near_copies
 from strandlake.llm.url_filter import PATTERN_RULES, judge_urls
@@ -38,6 +39,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word", "value_sha256", F.length("value").alias("length"), "score", "is_secret")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -70,7 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_sharding, op4_warc, op5_quality_classifier, op6_packing, op7_decontamination, op8_language_id, op9_simhash_dedup, op10_url_filter)
+    for f in (op1_exact_dedup, op2_sharding, op3_secret_scan, op4_warc, op5_quality_classifier, op6_packing, op7_decontamination, op8_language_id, op9_simhash_dedup, op10_url_filter)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
