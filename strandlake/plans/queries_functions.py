@@ -15,14 +15,14 @@ from strandlake.plans import derive as D
 SOFT = 0.25
 MODES = ("smooth", "c0", "c1", "c2")
 _ALL = ("hard", *MODES)
-_EVENTS = "x AS (SELECT event_id AS id, sqrt(value) / 5 - 2 AS x, CAST(user_id % 5 AS DOUBLE) / 2 - 1 AS y, user_id % 4 / 3.0 AS p, user_id % 3 / 2.0 AS q FROM events)"
+_EVENTS = "x AS (SELECT event_id AS id, sqrt(value + 0.3717) / 5 - 2 AS x, CAST(user_id % 5 AS DOUBLE) / 2 - 1 AS y, user_id % 4 / 3.0 AS p, user_id % 3 / 2.0 AS q FROM events)"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
     return D.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
-        (F.sqrt("value") / 5 - 2).alias("x"),
+        (F.sqrt(F.col("value") + 0.3717) / 5 - 2).alias("x"),
         ((u % 5).cast("double") / 2 - 1).alias("y"),
         (u % 4 / F.lit(3.0)).alias("p"),
         (u % 3 / F.lit(2.0)).alias("q"),
