@@ -15,8 +15,11 @@ called. Sequence ids are unique; they are gapless within a task only.
 
 from __future__ import annotations
 
+import sys
+import types
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,36 +31,59 @@ WINDOW = 4096
 END = 2
 #: Fixed value: the pre-token pattern of the tokenizer file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Distinct pre-tokens whose ids a task remembers.
-MEMORY = 300_000
+#: Distinct blank-free chunks whose ids a worker remembers.
+MEMORY = 400_000
+#: Control characters that str.split takes for blanks and the pattern does not.
+_ODD_BLANKS = "\x1c\x1d\x1e\x1f"
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (chr(256 + k) for k in range(256))
+    return {b: chr(b) if b in own else next(rest) for b in range(256)}
+
+
+def _memory(path: str) -> dict:
+    """A dictionary that outlives the task in its worker process."""
+    held = sys.modules.setdefault("_strandlake_memory", types.ModuleType("_strandlake_memory"))
+    return held.__dict__.setdefault(f"ids of {path}", {})
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizers file, one pre-token at a time."""
+    """Ids of whole texts by a tokenizers file, one pre-token at a time; chunks between blanks are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.split = regex.compile(PATTERN).findall
+        self.merge = self.inner.model.tokenize
+        self.split = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}")).findall
+        self.letters = byte_letters()
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
-        self.known: dict = {}
+        self.known = _memory(path)
+        self.end = np.array([END], "<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        ids = []
+        for part in self.split(chunk):
+            ids += [t.id for t in self.merge(part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode())))]
+        return array("I", ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
+        """Ids of a text and the end token, as the tokenizer itself gives them."""
         if any(s in text for s in self.special):
             return np.array([*self.inner.encode(text, add_special_tokens=False).ids, END], "<u4")
         # The file's normaliser: NFC, white space to one blank, lower case letter by letter (so no final sigma).
-        parts = self.split(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
-        known = self.known
+        low = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        if any(c in low for c in _ODD_BLANKS):
+            return np.frombuffer(self._chunk(low) + self.end, "<u4")
+        chunks, known = low.split(), self.known
         if len(known) > MEMORY:
             known.clear()
-        fresh = list(set(parts).difference(known))
-        if fresh:
-            for p, e in zip(fresh, self.inner.encode_batch(fresh, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        parts.append(END)
-        known[END] = np.array([END], "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
+        for c in set(chunks).difference(known):
+            known[c] = self._chunk(c)
+        return np.frombuffer(b"".join(map(known.__getitem__, chunks)) + self.end, "<u4")
 
 
 class SumOfSquares:
