@@ -11,6 +11,7 @@ from strandlake.functions import soft as S
 from strandlake.functions.numeric import hash_uniform, normal_cdf
 from strandlake.functions.order import top_k_mask
 from strandlake.operators import graph as G
+from strandlake.session import cut_lineage
 
 
 def library_sizes(counts: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def doublet_scores(cells: DataFrame, simulated: DataFrame, k: int, rate: float =
     """(id, simulated_neighbours, score) of real cells from the share of simulated doublets among k_adj neighbours."""
     n, m = cells.count(), simulated.count()
     k_adj = round(k * (1 + m / n))
-    near = G.knn(cells.select("id", "vec").unionByName(simulated.select("id", "vec")), k_adj)
+    near = G.knn(cut_lineage(cells.select("id", "vec").unionByName(simulated.select("id", "vec"))), k_adj)
     marked = near.join(simulated.select(F.col("id").alias("j"), F.lit(1.0).alias("fake")), "j", "left")
     got = marked.groupBy("i").agg(F.coalesce(F.sum("fake"), F.lit(0.0)).alias("c"))
     q = (F.col("c") + 1) / (k_adj + 2)

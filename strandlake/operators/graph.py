@@ -26,17 +26,18 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return table.column("id").to_numpy(), np.array(table.column("vec").to_pylist(), dtype=np.float64).reshape(table.num_rows, -1)
+    return table.column(0).to_numpy(), np.array(table.column(1).to_pylist(), dtype=np.float64).reshape(table.num_rows, -1)
 
 
-def _block_pairs(metric: str, k: int | None):
+def _block_pairs(metric: str, k: int | None, alone: bool):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         i, a = _matrix(left)
         j, b = _matrix(right)
         if not len(i) or not len(j):
             return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
         d = np.round(_distances(a, b, metric), 6)
-        same = i[:, None] == j[None, :]
+        # Within one table a row is at distance 0 of itself and not its own neighbour.
+        same = (i[:, None] == j[None, :]) & alone
         if k is None:
             d[same] = 0.0
             return pa.table({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "d": d.ravel()})
@@ -50,22 +51,24 @@ def _block_pairs(metric: str, k: int | None):
     return run
 
 
-def _dealt(left: DataFrame, right: DataFrame, metric: str, k: int | None, block_rows: int) -> DataFrame:
+def _dealt(left: DataFrame, other: DataFrame | None, metric: str, k: int | None, block_rows: int) -> DataFrame:
+    right = left if other is None else other
     nl, nr = max(1, -(-left.count() // block_rows)), max(1, -(-right.count() // block_rows))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     asked = left.select(F.col("id").cast("long"), "vec", block(nl).alias("bi"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("bj"))
-    held = right.select(F.col("id").cast("long"), "vec", block(nr).alias("bj"), F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("bi"))
-    return asked.groupBy("bi", "bj").cogroup(held.groupBy("bi", "bj")).applyInArrow(_block_pairs(metric, k), "i long, j long, d double")
+    # Fresh names keep the sides apart when both come from one table: column pruning would else drop the right side's.
+    held = right.select(F.col("id").cast("long").alias("id2"), F.col("vec").alias("vec2"), block(nr).alias("bj2"), F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("bi2"))
+    return asked.groupBy("bi", "bj").cogroup(held.groupBy("bi2", "bj2")).applyInArrow(_block_pairs(metric, k, other is None), "i long, j long, d double")
 
 
 def pairwise_distances(points: DataFrame, metric: str = "euclidean", other: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(i, j, d) for every pair of (id, vec) rows; metric euclidean, squared or cosine; the diagonal is 0."""
-    return _dealt(points, points if other is None else other, metric, None, block_rows)
+    return _dealt(points, other, metric, None, block_rows)
 
 
 def knn(points: DataFrame, k: int, metric: str = "euclidean", other: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(i, j, d, rank): the k nearest other rows of each row, ties by id. Each block keeps k, then blocks are merged."""
-    some = _dealt(points, points if other is None else other, metric, k, block_rows)
+    some = _dealt(points, other, metric, k, block_rows)
     place = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     return some.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
 

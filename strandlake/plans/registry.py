@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import queries_functions
+from strandlake.plans import queries_cells, queries_functions
 
-MODULES = (queries_functions,)
+MODULES = (queries_functions, queries_cells)
 
 
 def queries() -> dict:
