@@ -23,8 +23,10 @@ from strandlake.llm.common import lookup_groups, materialise, min_label_componen
 
 #: Distinct fingerprints from which the shard tree is fitted, at most; all fingerprints are indexed.
 SAMPLE = 8192
-#: Fingerprints that a shard is meant to hold.
-SHARD_ROWS = 16_384
+#: Fingerprints that a shard holds at most, about, and least, where there are enough shards for every task anyway. More
+#: shards mean more visitors, so their number follows the parallelism until shards grow too large.
+SHARD_ROWS = 262_144
+LEAST_ROWS = 2048
 _LEAF = 256
 #: bit j of each byte value
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -219,7 +221,8 @@ def _pairs(radius: int):
 
 def fingerprint_links(prints: DataFrame, n: int, radius: int) -> DataFrame:
     """(node, cell): fingerprints of one cell are linked. `prints` has the distinct column fp, a written table of n rows."""
-    leaves = max(1, -(-n // SHARD_ROWS))
+    width = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = max(1, -(-n // SHARD_ROWS), min(width, n // LEAST_ROWS))
     tree = 0
     if leaves > 1:
         every = max(2, n // SAMPLE + 1)
