@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import queries_cells, queries_functions
+from strandlake.plans import queries_cells, queries_functions, queries_relational
 
-MODULES = (queries_functions, queries_cells)
+MODULES = (queries_functions, queries_cells, queries_relational)
 
 
 def queries() -> dict:
