@@ -104,9 +104,13 @@ def marginals(potential: np.ndarray, live: np.ndarray, trans: np.ndarray, first:
     n, width, k = potential.shape
     a = np.exp(trans - trans.max())
     eye = np.eye(k)
+    opens = np.zeros(n, bool)
+    opens[first] = True
     step = np.broadcast_to(eye, (n, k, k)).copy()
     for t in range(width):
-        nxt = (step @ a) * potential[:, t, None, :]
+        # A document's first word follows nothing: every label is as likely before it.
+        move = step @ a if t else np.where(opens[:, None, None], step, step @ a)
+        nxt = move * potential[:, t, None, :]
         nxt /= nxt.max(axis=(1, 2), keepdims=True)
         step = np.where(live[:, t, None, None], nxt, step)
     counts = np.diff(np.append(first, n))
@@ -121,7 +125,7 @@ def marginals(potential: np.ndarray, live: np.ndarray, trans: np.ndarray, first:
     alpha = np.empty_like(potential)
     m = into
     for t in range(width):
-        nxt = (m @ a) * potential[:, t]
+        nxt = (m @ a if t else np.where(opens[:, None], m, m @ a)) * potential[:, t]
         nxt /= nxt.sum(1, keepdims=True)
         m = np.where(live[:, t, None], nxt, m)
         alpha[:, t] = m

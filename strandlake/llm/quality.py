@@ -114,9 +114,9 @@ def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
             y2, n2, s2 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + y2, blocks[-1][1] + n2, blocks[-1][2] + s2]
     y, n, s = np.array(blocks).T
-    # One success and one failure shared out over all rows keep the ends off 0 and 1.
-    prior = labels.mean()
-    return s / n, (y + prior) / (n + 1)
+    # Half a row of doubt keeps the ends off 0 and 1 and the levels in order.
+    doubt = 0.5 / (len(labels) + 1)
+    return s / n, np.clip(y / n, doubt, 1 - doubt)
 
 
 def held_out(id_col: str, folds: int, fold: int):

@@ -38,10 +38,11 @@ PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk_live_|rk_live_|xoxb-|xoxp-|AIza|e
 
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """One row per candidate: doc_id, word (its place), value, before, after, path."""
+    """One row per candidate: doc_id, word (its place), value, before, after, path (empty without a path column)."""
     text = F.col(text_col)
+    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     some = docs.filter(text.rlike(CANDIDATE)).select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col) if path_col else F.lit(""), F.lit("")).cast("string").alias("path"), F.split(text, r"\s+").alias("w")
+        F.col(id_col).alias("doc_id"), path.alias("path"), F.split(text, r"\s+").alias("w")
     )
     none = F.array(F.lit(""))
     rows = F.arrays_zip(
