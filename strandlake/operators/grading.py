@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.order import global_running
 from strandlake.functions.soft import col, logistic, safe_div
 
 
@@ -97,8 +98,11 @@ def auroc(rows: DataFrame, score: str, label: str, by: list[str] | None = None)
     """Area under the ROC curve from ranks, ties averaged. Scores are counted first, so equal ones travel as one row."""
     by = by or []
     s = rows.groupBy(*by, F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("double")).alias("pos"), F.count("*").cast("double").alias("n"))
-    w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    r = s.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0.0)) + (F.col("n") + 1) / 2)
+    if by:
+        w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+        r = s.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0.0)) + (F.col("n") + 1) / 2)
+    else:
+        r = global_running(s, [F.col("s")], ["n"]).withColumn("rank", F.col("n_sum") - F.col("n") + (F.col("n") + 1) / 2)
     pos = F.sum("pos")
     neg = F.sum("n") - pos
     area = safe_div(F.sum(F.col("pos") * F.col("rank")) - pos * (pos + 1) / 2, pos * neg)
@@ -116,28 +120,27 @@ def soft_auroc(rows: DataFrame, key: str, score: str, label: str, temperature: f
 
 def precision_recall_area(rows: DataFrame, key: str, score: str, label: str) -> DataFrame:
     """Average precision and trapezoid area under precision-recall, by falling score with ties broken by id."""
-    w = Window.orderBy(F.col(score).desc(), F.col(key))
     y = (F.col(label) == 1).cast("double")
     total = rows.agg(F.sum(y).alias("total"))
-    c = rows.withColumn("y", y).withColumn("tp", F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.row_number().over(w))
-    c = c.join(F.broadcast(total), F.lit(True)).withColumn("p", F.col("tp") / F.col("k")).withColumn("r", F.col("tp") / F.col("total"))
-    c = c.withColumn("p0", F.coalesce(F.lag("p").over(w), F.lit(1.0))).withColumn("r0", F.coalesce(F.lag("r").over(w), F.lit(0.0)))
-    step = F.col("r") - F.col("r0")
-    return c.agg(F.sum(step * F.col("p")).alias("average_precision"), F.sum(step * (F.col("p") + F.col("p0")) / 2).alias("auprc"))
+    c = global_running(rows.select(key, score, y.alias("y")), [F.col(score).desc(), F.col(key)], ["y"]).join(F.broadcast(total), F.lit(True))
+    tp, k, before = F.col("y_sum"), F.col("k"), F.col("y_sum") - F.col("y")
+    p, p0 = tp / k, F.when(k > 1, before / F.greatest(k - 1, F.lit(1))).otherwise(1.0)
+    step = F.col("y") / F.col("total")
+    return c.agg(F.sum(step * p).alias("average_precision"), F.sum(step * (p + p0) / 2).alias("auprc"))
 
 
 def early_precision_ratio(rows: DataFrame, key: str, score: str, label: str) -> DataFrame:
     """Precision among the k best, k being the number of positives, over the share of positives."""
     n = rows.agg(F.count("*").alias("n"), F.sum((F.col(label) == 1).cast("long")).alias("k"))
-    place = F.row_number().over(Window.orderBy(F.col(score).desc(), F.col(key)))
-    c = rows.withColumn("place", place).join(F.broadcast(n), F.lit(True)).filter("place <= k")
+    placed = global_running(rows, [F.col(score).desc(), F.col(key)], position="place")
+    c = placed.join(F.broadcast(n), F.lit(True)).filter("place <= k")
     return c.groupBy("n", "k").agg(F.avg((F.col(label) == 1).cast("double")).alias("p")).select((F.col("p") / (F.col("k") / F.col("n"))).alias("epr"))
 
 
 def regression_metrics(rows: DataFrame, key: str, target: str, predicted: str) -> DataFrame:
     """RMSE, Pearson, and Spearman on ordinal ranks (ties broken by id)."""
-    rank = lambda c: F.row_number().over(Window.orderBy(c, key)).cast("double")
-    r = rows.withColumn("rt", rank(target)).withColumn("rp", rank(predicted))
+    r = global_running(rows.select(key, target, predicted), [F.col(target), F.col(key)], position="rt")
+    r = global_running(r, [F.col(predicted), F.col(key)], position="rp").withColumns({"rt": F.col("rt").cast("double"), "rp": F.col("rp").cast("double")})
     e = F.col(predicted) - F.col(target)
     return r.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.corr(target, predicted).alias("pearson"), F.corr("rt", "rp").alias("spearman"))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.functions.order import global_running
 from strandlake.operators.splitting import label_codes, order_split
 from strandlake.session import require_columns
 
@@ -83,8 +84,8 @@ def read_dti(spark: SparkSession, path: str, sep: str = ",", task: str = "regres
 def read_molecules(spark: SparkSession, path: str, smiles: str, tasks: list[str]) -> DataFrame:
     """(position, smiles, y, split) of a MoleculeNet CSV: split by row order, then rows without SMILES left out."""
     t = spark.read.csv(path, header=True)
-    w = Window.orderBy("__m")
-    t = t.withColumn("__m", F.monotonically_increasing_id()).withColumn("position", F.row_number().over(w) - 1)
+    t = global_running(t.withColumn("__m", F.monotonically_increasing_id()), [F.col("__m")], position="position")
+    t = t.withColumn("position", F.col("position") - 1)
     y = F.array(*[F.expr(f"try_cast(`{c}` AS double)") for c in tasks])
     rows = t.select("position", F.col(smiles).alias("smiles"), y.alias("y"))
     return order_split(rows, "position").filter(F.length(F.trim(F.coalesce("smiles", F.lit("")))) > 0)

@@ -35,6 +35,14 @@ def test_top_k_ties_and_bounds(spark):
     assert on(2) == [1, 2] and on(0) == [] and on(9) == [0, 1, 2, 3]
 
 
+def test_global_positions_equal_one_sorted_list(spark):
+    t = spark.range(500).select("id", (F.col("id") * 7919 % 83).alias("v"), F.lit(2.0).alias("y"))
+    got = {r.id: (r.k, r.y_sum) for r in O.global_running(t.repartition(9), [F.col("v").desc(), F.col("id")], ["y"]).collect()}
+    want = sorted(((i * 7919 % 83, i) for i in range(500)), key=lambda p: (-p[0], p[1]))
+    assert got == {i: (k + 1, 2.0 * (k + 1)) for k, (_, i) in enumerate(want)}
+    assert O.global_running(t.limit(0), [F.col("v"), F.col("id")], ["y"]).count() == 0
+
+
 def test_dna_round_trip_and_bad_letters(spark):
     t = spark.createDataFrame([(1, "ACGTN"), (2, "")], "seq_id long, sequence string")
     assert [r[0] for r in t.orderBy("seq_id").select(Q.decode_one_hot(Q.one_hot("sequence"))).collect()] == ["ACGTN", ""]
@@ -89,6 +97,14 @@ def test_alignment_of_ids_reports_differences(spark):
         P.align_to_reference(a, spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "id long, position long"), "id", "position")
 
 
+def test_auroc_with_ties_is_the_pair_share(spark):
+    rows = [(i, float(i * 7 % 5), i % 3 == 0) for i in range(60)]
+    t = spark.createDataFrame([(a, b, int(c)) for a, b, c in rows], "id long, s double, y int")
+    pairs = [(p[1], n[1]) for p in rows if p[2] for n in rows if not n[2]]
+    want = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a, b in pairs) / len(pairs)
+    assert abs(R.auroc(t, "s", "y").first()[0] - want) < 1e-12
+
+
 def test_unbalanced_brackets_raise(spark):
     with pytest.raises(Exception, match="unbalanced"):
         R.bracket_pairs(spark.createDataFrame([(1, "(()")], "seq_id long, structure string")).collect()
