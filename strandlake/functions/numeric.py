@@ -29,9 +29,9 @@ def erf(x) -> Column:
     """The error function: a power series near zero, a continued fraction beyond; to about 1e-12."""
     x = col(x)
     a = F.abs(x)
-    small = F.lit(0.0)
-    for n in reversed(range(40)):
-        small = small * (a * a) * F.lit(-1.0 / (n + 1) if n + 1 else 1.0) * F.lit((2 * n + 1) / (2 * n + 3)) + 1.0 if n < 39 else F.lit(1.0)
+    small = F.lit(1.0)
+    for n in reversed(range(39)):
+        small = 1.0 + small * (a * a) * F.lit(-(2 * n + 1) / ((n + 1) * (2 * n + 3)))
     near = 2 / math.sqrt(math.pi) * a * small
     fraction = F.lit(0.0)
     for k in reversed(range(1, 40)):
