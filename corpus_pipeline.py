@@ -13,7 +13,7 @@ from strandlake.llm.decontamination import drop_leaks
 from strandlake.llm.exact_dedup import drop_exact_copies
 from strandlake.llm.packing import pack_documents
 from strandlake.llm.quality import keep_good
-from strandlake.llm.simhash_dedup import drop_near_copies
+from strandlake.llm.similar_dedup import drop_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one of the smallest id."""
-    return drop_near_copies(docs)
+    """One document of each component of near copies (similarity of five-word shingles): the one of the smallest id."""
+    return drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

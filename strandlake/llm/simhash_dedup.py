@@ -33,19 +33,27 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = (np.arange(8) * 256).astype(np.int64)
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of a text's word shingles; words are runs of anything but ASCII white space, A-Z lower-cased."""
+def shingle_hashes(text: bytes, width: int = 3, seed: int = 42) -> np.ndarray:
+    """64-bit hashes of a text's word shingles; words are runs of anything but ASCII white space, A-Z lower-cased."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     h = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return h(b" ".join(words), seed)
     joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([h(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = len(words) - width + 1
-    hashes = np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n)
+    return np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n)
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of a text's word shingles: the majority vote of their hashes."""
+    hashes = shingle_hashes(text, width, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     lanes = hashes.view(np.uint8).reshape(n, 8) + _LANES
     votes = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits((votes * 2 > n).ravel(), bitorder="little").tobytes(), "little")
