@@ -1,6 +1,6 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Every word of a text is a position of the chain. Its potentials come from hashed affixes and character n-grams and from
+Every word of a text is a position of the chain; a word of more than 24 bytes is several, one a piece. Its potentials come from hashed affixes and character n-grams and from
 lexicons learned for each language; transitions between languages are learned from sequences that splice runs of words
 of different languages. Forward-backward gives each word's label probabilities, so code-switched text is labelled word
 by word; a document's language is the one with the largest summed probability.
@@ -34,9 +34,8 @@ SLICE_BYTES = 3 << 20
 
 
 def word_codes(words: list[bytes]) -> np.ndarray:
-    """Matrix of bytes, a row for each word: 2, the word, 3, then zeros. Longer words keep their two ends."""
-    half = (WIDTH - 2) // 2
-    framed = [b"\2" + (w if len(w) <= WIDTH - 2 else w[:half] + w[-half:]) + b"\3" for w in words]
+    """Matrix of bytes, a row for each word of at most WIDTH - 2 bytes: 2, the word, 3, then zeros."""
+    framed = [b"\2" + w + b"\3" for w in words]
     out = np.zeros((len(words), WIDTH), np.uint8)
     flat = np.frombuffer(b"".join(framed), np.uint8)
     n = np.fromiter(map(len, framed), np.int64, len(framed))
@@ -139,8 +138,20 @@ def marginals(potential: np.ndarray, live: np.ndarray, trans: np.ndarray, first:
     return post
 
 
+def word_pieces(word: bytes) -> list[bytes]:
+    """The word, or consecutive parts of at most WIDTH - 2 bytes, cut between characters."""
+    out, at = [], 0
+    while len(word) - at > WIDTH - 2:
+        end = at + WIDTH - 2
+        while word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return [*out, word[at:]]
+
+
 def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(document of each word, its entry in the vocabulary, vocabulary): lower-cased, trimmed words with a letter."""
+    """(document of each word, its entry in the vocabulary, vocabulary): lower-cased, trimmed words with a letter, long ones in pieces."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
     doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
     coded = pc.utf8_trim(lists.flatten(), characters=_TRIM).dictionary_encode()
@@ -148,7 +159,15 @@ def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     lettered = pc.match_substring_regex(vocabulary, r"\pL").to_numpy(zero_copy_only=False).astype(bool)
     number = np.cumsum(lettered) - 1
     keep = lettered[codes] if len(codes) else np.zeros(0, bool)
-    return doc[keep], number[codes[keep]], [w.encode() for w in vocabulary.filter(pa.array(lettered)).to_pylist()]
+    doc, code, words = doc[keep], number[codes[keep]], [w.encode() for w in vocabulary.filter(pa.array(lettered)).to_pylist()]
+    if max(map(len, words), default=0) <= WIDTH - 2:
+        return doc, code, words
+    entry: dict[bytes, int] = {}
+    parts = [[entry.setdefault(x, len(entry)) for x in word_pieces(w) if len(w) <= WIDTH - 2 or any(map(str.isalpha, x.decode()))] for w in words]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    n, flat = sizes[code], np.array([x for some in parts for x in some], np.int64)
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(doc, n), flat[np.repeat((np.cumsum(sizes) - sizes)[code], n) + within], list(entry)
 
 
 def chain_blocks(doc: np.ndarray):
