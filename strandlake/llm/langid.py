@@ -77,9 +77,15 @@ class Crf:
         k = len(labels)
         self.labels = labels
         self.w = np.zeros((BUCKETS, k), np.float32)
-        self.lex_w = np.zeros((1 << k if k <= 8 else 1, k), np.float32)
+        self.lex_w = np.zeros((k, k), np.float32)
         self.trans = np.zeros((k, k))
-        self.lexicon: dict[bytes, int] = {}
+        # Of each word: a byte for each label, 1 where the word is in the label's lexicon.
+        self.lexicon: dict[bytes, bytes] = {}
+
+    def known(self, words: list[bytes]) -> np.ndarray:
+        """Membership of each word in each label's lexicon, 0 or 1."""
+        k = len(self.labels)
+        return np.frombuffer(b"".join(map(self.lexicon.get, words, [bytes(k)] * len(words))), np.uint8).reshape(len(words), k).astype(np.float32)
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
         """Log potentials of each word, by label."""
@@ -88,8 +94,7 @@ class Crf:
             some = words[i : i + 8192]
             ids = feature_ids(word_codes(some))
             e = self.w[ids].sum(1)
-            known = np.fromiter((self.lexicon.get(x, 0) for x in some), np.int64, len(some))
-            out[i : i + 8192] = e + self.lex_w[known % len(self.lex_w)]
+            out[i : i + 8192] = e + self.known(some) @ self.lex_w
         return out
 
 
@@ -209,12 +214,12 @@ def train(samples: list[tuple[str, str]], seed: int = 3, length: int = 48, seque
     lang = np.array([labels.index(x) for x, _ in samples])
     seen = np.zeros((len(vocabulary), k))
     np.add.at(seen, (code, lang[doc]), 1)
-    if k <= 8:
-        for j in range(k):
-            share = seen[:, j] / np.maximum(seen.sum(1), 1)
-            good = np.nonzero((seen[:, j] >= 3) & (share > 0.2))[0]
-            for v in good[np.argsort(-seen[good, j], kind="stable")][:LEXICON_WORDS]:
-                model.lexicon[vocabulary[v]] = model.lexicon.get(vocabulary[v], 0) | 1 << j
+    for j in range(k):
+        share = seen[:, j] / np.maximum(seen.sum(1), 1)
+        good = np.nonzero((seen[:, j] >= 3) & (share > 0.2))[0]
+        for v in good[np.argsort(-seen[good, j], kind="stable")][:LEXICON_WORDS]:
+            held = model.lexicon.get(vocabulary[v], bytes(k))
+            model.lexicon[vocabulary[v]] = held[:j] + b"\1" + held[j + 1 :]
     start, n = np.unique(doc, return_index=True, return_counts=True)[1:]
     ids = np.unique(doc)
     by_lang = [np.nonzero(lang[ids] == j)[0] for j in range(k)]
@@ -232,7 +237,7 @@ def train(samples: list[tuple[str, str]], seed: int = 3, length: int = 48, seque
     x = x.reshape(sequences, length)
     words = [vocabulary[v] for v in used]
     feats = feature_ids(word_codes(words))
-    known = np.array([model.lexicon.get(w, 0) for w in words])
+    known = model.known(words)
     # Words that are in the lexicon only because they were seen here tell nothing: hide it from half of them.
     known[rng.random(len(known)) < 0.5] = 0
     buckets, inner = np.unique(feats, return_inverse=True)
@@ -250,7 +255,7 @@ def train(samples: list[tuple[str, str]], seed: int = 3, length: int = 48, seque
         e = np.zeros((len(words), k))
         for c in range(0, len(words), 4096):
             e[c : c + 4096] = params["w"][inner[c : c + 4096]].sum(1)
-        e += params["lex"][known % len(params["lex"])]
+        e += known @ params["lex"]
         e = np.exp(np.maximum(e - e.max(1, keepdims=True), -30))[x]
         a = np.exp(params["t"] - params["t"].max())
         alpha, beta = np.empty_like(e), np.ones_like(e)
@@ -271,11 +276,10 @@ def train(samples: list[tuple[str, str]], seed: int = 3, length: int = 48, seque
         wide = np.repeat(by_word, feats.shape[1], axis=0)
         grad = {
             "w": np.stack([np.bincount(flat, wide[:, j], len(buckets)) for j in range(k)], axis=1) - 0.1 * params["w"],
-            "lex": np.stack([np.bincount(known % len(params["lex"]), by_word[:, j], len(params["lex"])) for j in range(k)], axis=1) - 0.1 * params["lex"],
+            "lex": known.T @ by_word - 0.1 * params["lex"],
             "t": gold_t - pair.sum((0, 1)) - 0.1 * params["t"],
         }
         grad["w"][buckets == 0] = 0
-        grad["lex"][0] = 0
         for p, g in grad.items():
             first_m[p] = 0.9 * first_m[p] + 0.1 * g
             second_m[p] = 0.98 * second_m[p] + 0.02 * g * g

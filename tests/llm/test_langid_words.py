@@ -10,3 +10,10 @@ def test_long_words_are_read_whole():
     assert max(map(len, vocabulary)) <= L.WIDTH - 2 and doc.tolist() == sorted(doc.tolist())
     assert [vocabulary[c] for c in code[doc == 1]] == [b"x"]
     assert np.array_equal(np.unique(code), np.arange(len(vocabulary)))
+
+
+def test_lexicons_work_for_ten_languages():
+    samples = [(f"l{j}", " ".join(f"{chr(97 + j)}{chr(97 + (3 * j + i) % 26)}o" for i in range(40)) + f" only{chr(97 + j)}" * 5) for j in range(10)]
+    model = L.train(samples, sequences=200, rounds=5)
+    known = model.known([f"only{chr(97 + j)}".encode() for j in range(10)] + [b"never"])
+    assert np.array_equal(known, np.eye(11, 10)) and np.abs(model.lex_w).sum() > 0
