@@ -5,8 +5,8 @@ lexicons learned for each language; transitions between languages are learned fr
 of different languages. Forward-backward gives each word's label probabilities, so code-switched text is labelled word
 by word; a document's language is the one with the largest summed probability.
 
-Only fitting is bounded: at most DOCS_PER_LANGUAGE documents a language (a hash of the id decides which), of at most
-FIT_BYTES each. Every document and every whole text is labelled. Defined cases: a null text, or one without a letter, is
+Only fitting is bounded: at most DOCS_PER_LANGUAGE documents a language (a hash of the id decides which), a run of at
+most FIT_BYTES of each. Every document and every whole text is labelled. Defined cases: a null text, or one without a letter, is
 `und` with score 0; without any document to learn from every text is `und`; a null id counts as the empty string for the
 held-out rule; repeated rows are labelled alike.
 """
@@ -296,7 +296,7 @@ def held_out(id_col: str = "doc_id"):
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> Crf | None:
     """Learn from documents that are not held out and whose language is known; None if there are none."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).filter(F.octet_length(text_col) <= FIT_BYTES)
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     counts = known.groupBy(lang_col).count().collect()
     if not counts:
         return None
@@ -306,6 +306,12 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         share = F.when(F.col(lang_col) == r[0], int((1 << 30) * min(1.0, 2 * per_language / r[1]))).otherwise(share)
     draw = F.xxhash64(id_col, F.lit("languages"))
     some = known.withColumn("__draw", draw).filter(F.pmod("__draw", F.lit(1 << 30)) <= share)
+    # A long document gives a run of whole words from a place that its hash chooses; a character has four bytes at most.
+    chars = FIT_BYTES // 4
+    start = F.pmod(F.xxhash64("__draw"), F.length(text_col) - chars + 1).cast("int") + 1
+    run = F.substring(F.col(text_col), F.when(F.length(text_col) > chars, start).otherwise(1), F.lit(chars))
+    run = F.when(run.rlike(r"\s\S+\s"), F.regexp_replace(run, r"^\S+\s+|\s+\S+$", "")).otherwise(run)
+    some = some.withColumn(text_col, F.when(F.octet_length(text_col) > FIT_BYTES, run).otherwise(F.col(text_col)))
     place = F.row_number().over(Window.partitionBy(lang_col).orderBy("__draw", id_col, text_col))
     rows = some.select(lang_col, id_col, text_col, "__draw").withColumn("__n", place).filter(F.col("__n") <= per_language).orderBy(lang_col, "__n")
     return train([(r[0], r[1]) for r in rows.select(lang_col, text_col).collect()])

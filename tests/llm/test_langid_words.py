@@ -17,3 +17,13 @@ def test_lexicons_work_for_ten_languages():
     model = L.train(samples, sequences=200, rounds=5)
     known = model.known([f"only{chr(97 + j)}".encode() for j in range(10)] + [b"never"])
     assert np.array_equal(known, np.eye(11, 10)) and np.abs(model.lex_w).sum() > 0
+
+
+def test_languages_of_long_documents_only_are_learned(spark):
+    a, b = "der hund und die katze ", "le chien et le chat "
+    rows = [(i, (a if i % 2 else b) * (2000 if i % 2 else 3), "de" if i % 2 else "fr") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit_languages(docs)
+    assert model.labels == ["de", "fr"]
+    got = {r.doc_id: r.lang_pred for r in L.predict_languages(docs, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
