@@ -135,3 +135,20 @@ def test_nothing_but_the_entry_imports_the_llm_subpackage():
 
     root = Path(__file__).resolve().parent.parent / "strandlake"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "strandlake.llm" in p.read_text()]
+
+
+def test_entry_works_without_the_training_data_operators(tmp_path):
+    """In a copy without the two llm folders, with and without the pipeline's file."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    say = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and 'pipeline' not in q and not any(k.startswith('op1_') for k in q); e.oracle_sql()"
+    for gone in (None, "corpus_pipeline.py"):
+        if gone:
+            (copy / gone).unlink(missing_ok=True)
+        subprocess.run([sys.executable, "-c", say], cwd=copy, check=True, timeout=120)
