@@ -17,10 +17,13 @@ _OWN_ROOT = f"/tmp/checkpoints/strandlake-{os.getpid()}"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and Spark runs in this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     if not os.path.isdir(_OWN_ROOT):
         os.makedirs(_OWN_ROOT)
         atexit.register(shutil.rmtree, _OWN_ROOT, ignore_errors=True)
@@ -33,18 +36,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends there and survives lost executors."""
+    """Write a table to the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    Such tables stay until the folder is cleaned, since a lazy result may still read them.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch path through Hadoop's file system, whatever the store."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def spare_name(df: DataFrame, stem: str) -> str:
+    """A column name that `df` does not have, whatever the case."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def lookup_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
@@ -61,28 +68,40 @@ def lookup_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     return rows.join(hot, key).unionByName(small.join(cold, key, how))
 
 
-def min_label_components(members: DataFrame, max_rounds: int = 100) -> DataFrame:
+def min_label_components(members: DataFrame) -> DataFrame:
     """Connected components of a bipartite membership table (node, cell): nodes that share a cell are connected.
 
-    Returns (node, label) with label the smallest node reachable. Each round takes the smallest label of every cell
-    and hands it back to the cell's nodes; it ends when no label changes. Cells that hold a large share of the nodes
-    are broadcast (lookup_groups); each round is written to the shared folder, so no lineage piles up.
+    Returns (node, label) with label the smallest node reachable. Rounds contract the graph: every label hooks to the
+    smallest label that shares a cell with it, chains of hooks are halved twice, and the memberships move to the new
+    labels. A label with a smaller neighbour vanishes, so the rounds grow with the logarithm of the longest path, not
+    with its length. Cells and labels that hold a large share of the rows are broadcast (lookup_groups); each round is
+    written to the shared folder, so no lineage piles up.
     """
-    members = materialise(members.select("node", "cell").distinct(), "members")
-    total = members.count()
-    sizes = members.groupBy("cell").agg(F.count("*").alias("cell_n"), F.min("node").alias("label"))
-    labels, moved = None, True
-    for _ in range(max_rounds):
-        spread = lookup_groups(members, sizes, "cell", "cell_n", total).select("node", "cell", "label")
-        fresh = spread.groupBy("node").agg(F.min("label").alias("label"), F.count("*").alias("node_n"))
-        fresh = materialise(fresh, "labels")
-        if labels is not None:
-            moved = (
-                fresh.join(labels.select("node", F.col("label").alias("was")), "node").filter(F.col("was") != F.col("label")).limit(1).count() > 0
-            )
-            if not moved:
-                return fresh.select("node", "label")
-        labels = fresh
-        carried = lookup_groups(members, labels, "node", "node_n", total).select("cell", "label")
-        sizes = carried.groupBy("cell").agg(F.count("*").alias("cell_n"), F.min("label").alias("label"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    edges = materialise(members.select(F.col("node").alias("label"), "cell").distinct(), "members")
+    labels = None
+    while True:
+        total = edges.count()
+        cells = edges.groupBy("cell").agg(F.count("*").alias("cell_n"), F.min("label").alias("least"))
+        cells = materialise(cells.filter("cell_n > 1"), "cells")
+        near = lookup_groups(edges, cells, "cell", "cell_n", total, "inner")
+        hooks = near.groupBy("label").agg(F.min("least").alias("up")).filter("up < label")
+        hooks = materialise(hooks, "hooks")
+        if not hooks.limit(1).count():
+            if labels is None:
+                return edges.select(F.col("label").alias("node"), "label").distinct()
+            return labels.select("node", "label")
+        for _ in range(2):
+            above = hooks.select(F.col("label").alias("up"), F.col("up").alias("top"))
+            hooks = hooks.join(above, "up", "left").select("label", F.coalesce("top", "up").alias("up"))
+        hooks = materialise(hooks, "hooks")
+        sized = hooks.join(edges.groupBy("label").agg(F.count("*").alias("label_n")), "label")
+        moved = lookup_groups(edges, sized, "label", "label_n", total)
+        if labels is None:
+            nodes = edges.select(F.col("label").alias("node")).distinct()
+            labels = nodes.join(hooks.withColumnRenamed("label", "node"), "node", "left").select("node", F.coalesce("up", "node").alias("label"))
+        else:
+            n_nodes = labels.count()
+            held = hooks.join(labels.groupBy("label").agg(F.count("*").alias("label_n")), "label")
+            labels = lookup_groups(labels, held, "label", "label_n", n_nodes).select("node", F.coalesce("up", "label").alias("label"))
+        labels = materialise(labels, "labels")
+        edges = materialise(moved.select(F.coalesce("up", "label").alias("label"), "cell").distinct(), "members")

@@ -1,37 +1,49 @@
-"""Near copies by similarity of five-word shingles: wide SimHash fingerprints, all pairs of comparable size, verification.
+"""Near copies by similarity of five-word shingles: wide SimHash fingerprints, vantage-point trees below shared shingles, verification.
 
 A document's set of shingles gives a SimHash of 128 bits. At similarity 0.8 about 19 bits differ, with a deviation of 4
-(24 and 4 in the worst case, sets of four and five), so fingerprints within RADIUS bits are candidates; a candidate pair is linked
-if the Jaccard similarity of the two sets (of 64-bit shingle hashes) is high enough. A ball of that radius overlaps
-nearly every split of a vantage-point tree, so none is used here. Sets of similarity s have sizes within the factor s of
-each other: documents are ordered by size and dealt to shards by ranges, each also visits the later shards whose sizes
-it can match, and a shard compares all its pairs of such sizes. No pair within the radius is passed over.
-
-The first scan hands on each document's CLOSEST nearest candidates. Documents with more are scanned again for all their
-candidates that the first links did not already join them to, so a large group of copies costs no square of rows.
-
-Defined cases: texts without words are copies of each other; a text of fewer words than a shingle is one shingle; a null
-id ranks above every other; repeated rows are separate members.
+(24 and 4 in the worst case, sets of four and five), so fingerprints within RADIUS bits are candidates; a candidate pair
+is linked if the Jaccard similarity of the two sets (of 64-bit shingle hashes) is high enough. A ball of that radius
+overlaps nearly every split of one tree over all documents, so the space is first cut by content: a document belongs to
+the cell of each of its KEYS smallest shingle hashes. Of the KEYS smallest hashes of two documents' union each is shared
+with a chance of at least the similarity, so a similar pair meets in no cell with a chance of at most 0.2 ** 16 (none
+at all for sets of up to KEYS hashes). Inside a cell the sizes that can match, and for large cells a vantage-point tree
+over the fingerprints, name the pairs within the radius.
+
+Links come in two steps, so that a group of copies costs no square of its rows. First every member of a cell is compared
+with the cell's pivot. Then the pairs that the first links left in different components follow: in cells of up to
+CELL_ROWS all of them; in larger cells only members with fewer than COLD other cells that are not large (a pair of which
+one has COLD cells of its own meets in one of those, but for a chance of 0.2 ** COLD), and of those only rows outside
+the cell's largest component ask, in blocks. No group is cut short and no pair within the radius is passed over there.
+
+Defined cases: texts without words (null, empty or blank) are copies of each other; a text of fewer words than a shingle
+is one shingle; a text of any length is read whole; a null id ranks above every other, ties of equal ids go to the row
+that comes first in the scan; repeated rows are separate members, of which one stays; an empty table gives an empty
+result; input columns may have any name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import lookup_groups, materialise, min_label_components
-from strandlake.llm.simhash_dedup import _BITS, _LANES, SAMPLE, SHARD_ROWS, shingle_hashes
+from strandlake.llm.common import lookup_groups, materialise, min_label_components, spare_name
+from strandlake.llm.simhash_dedup import _BITS, _LANES, shingle_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 38
-CLOSEST = 4
-#: Shards that a table has at most, while they stay below SHARD_ROWS, and rows that are worth a shard.
-SHARDS = 32
-LEAST_ROWS = 1024
-_FAR = 255
+#: Smallest shingle hashes of a document that name its cells.
+KEYS = 16
+#: Rows of a cell whose pairs are all looked at, at most, and the rows of a block of a larger one.
+CELL_ROWS = 2048
+#: Cells of its own (not larger than CELL_ROWS) that spare a document the search in its large cells.
+COLD = 10
+#: Rows up to which a cell is compared row by row, without a tree.
+_LEAF = 128
+#: Pairs that one copy of a text serves in the verification.
+_SERVED = 64
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -70,98 +82,110 @@ def _fingerprints(width: int):
         tag = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column(1)
-            sets = [shingle_set(texts[i].as_py() or b"", width) for i in range(batch.num_rows)]
-            prints = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            prints, sizes, keys = [], [], []
+            for i in range(batch.num_rows):
+                hashes = shingle_set(texts[i].as_py() or b"", width)
+                prints.append(wide_fingerprint(hashes))
+                sizes.append(len(hashes))
+                # The smallest hashes; a text without words has the key 0.
+                keys.append(hashes[:KEYS].view(np.int64) if len(hashes) else np.zeros(1, np.int64))
+            both = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(tag, tag + batch.num_rows)), batch.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([len(s) for s in sets], pa.int64())],
-                names=["tag", "id", "hi", "lo", "m"],
+                [pa.array(np.arange(tag, tag + batch.num_rows)), batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sizes, pa.int64()), lists],
+                names=["tag", "id", "hi", "lo", "m", "keys"],
             )
             tag += batch.num_rows
 
     return run
 
 
-def _send(bounds: list[tuple[int, int, int]], least: float):
-    """Kernel: a document's home row, and a visitor's row for each later shard whose least size it can match."""
+def distance(hi, lo, other_hi, other_lo):
+    """Bits in which 128-bit fingerprints differ."""
+    return (np.bitwise_count(hi ^ other_hi) + np.bitwise_count(lo ^ other_lo)).astype(np.int16)
+
+
+def tree_pairs(hi, lo, asks, radius: int):
+    """Yield (asking, found) index arrays of every pair within the radius, by a vantage-point tree over all points."""
+    rng = np.random.default_rng(11)
+    stack = [(np.arange(len(hi)), np.nonzero(asks)[0])]
+    while stack:
+        own, asking = stack.pop()
+        if not len(own) or not len(asking):
+            continue
+        if len(own) > _LEAF:
+            tries = own[rng.choice(len(own), min(8, len(own)), replace=False)]
+            some = own if len(own) <= 256 else rng.choice(own, 256, replace=False)
+            pivot = max(tries.tolist(), key=lambda v: float(np.var(distance(hi[some], lo[some], hi[v], lo[v]))))
+            d = distance(hi[own], lo[own], hi[pivot], lo[pivot])
+            median = int(np.median(d))
+            near = d <= median
+            d_ask = distance(hi[asking], lo[asking], hi[pivot], lo[pivot])
+            inner, outer = d_ask - radius <= median, d_ask + radius > median
+            # A split that prunes nothing only costs: then the points are compared in blocks.
+            if not near.all() and inner.sum() + outer.sum() < 1.8 * len(asking):
+                stack.append((own[near], asking[inner]))
+                stack.append((own[~near], asking[outer]))
+                continue
+        for i in range(0, len(asking), 1024):
+            x = asking[i : i + 1024]
+            for k in range(0, len(own), 2048):
+                y = own[k : k + 2048]
+                r, c = np.nonzero(distance(hi[x][:, None], lo[x][:, None], hi[y], lo[y]) <= radius)
+                yield x[r], y[c]
+
+
+def _fits(m_a, m_b, least: float):
+    """Whether sets of two sizes can reach the similarity."""
+    return np.minimum(m_a, m_b) >= np.maximum(m_a, m_b) * least - 1e-9
+
+
+def _cell_pairs(radius: int, least: float):
+    """Kernel over rows in order of `cell`: the pairs (a, b) of a cell within the radius, one asking, of different labels."""
+
+    def pairs(cols):
+        cell, hi, lo = cols["cell"], cols["hi"].view(np.uint64), cols["lo"].view(np.uint64)
+        m, tag, label, asks = cols["m"], cols["tag"], cols["label"], cols["asks"]
+        found = []
+
+        def keep(i, j):
+            ok = (label[i] != label[j]) & (tag[i] != tag[j]) & _fits(m[i], m[j], least)
+            i, j = tag[i[ok]], tag[j[ok]]
+            found.append((np.maximum(i, j), np.minimum(i, j)))
+
+        start = np.nonzero(np.append(True, cell[1:] != cell[:-1]))[0] if len(cell) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(cell)))
+        # Small cells run together: each row against the one `step` places on, while both are of one cell.
+        ahead = np.repeat(np.where(size <= _LEAF, start + size, 0), size)
+        at, step = np.arange(len(cell)), 1
+        while len(at := at[at + step < ahead[at]]):
+            i, j = at, at + step
+            ok = (asks[i] | asks[j]) & (distance(hi[i], lo[i], hi[j], lo[j]) <= radius)
+            keep(i[ok], j[ok])
+            step += 1
+        for s, n in zip(start[size > _LEAF].tolist(), size[size > _LEAF].tolist()):
+            part = slice(s, s + n)
+            for i, j in tree_pairs(hi[part], lo[part], asks[part], radius):
+                keep(i + s, j + s)
+        a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        both = np.unique(np.stack([a, b], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def run(batches):
+        held = None
         for batch in batches:
-            tag, hi, m = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("tag", "hi", "m"))
-            lives = np.zeros(len(m), np.int32)
-            for bm, bh, bt in bounds:
-                lives += (m > bm) | ((m == bm) & ((hi > bh) | ((hi == bh) & (tag >= bt))))
-            for shard in range(len(bounds) + 1):
-                home = lives == shard
-                take = home if not shard else home | ((lives < shard) & (m >= bounds[shard - 1][0] * least - 1e-9))
-                if take.any():
-                    some = batch.filter(pa.array(take))
-                    k = some.num_rows
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, shard, np.int32)), pa.array(home[take]), *some.columns], names=["shard", "home", *some.schema.names]
-                    )
-
-    return run
-
-
-def candidates(hi, lo, m, home, radius: int, least: float):
-    """Yield (y, x, bits): a block of home points, the earlier points they can match, and the bits that differ.
-
-    Points are in order of size; bits is _FAR where two sizes cannot reach the similarity or x does not come before y.
-    """
-    at = np.nonzero(home)[0]
-    for i in range(0, len(at), 512):
-        y = at[i : i + 512]
-        low, high = np.searchsorted(m, m[y[0]] * least - 1e-9), int(y[-1])
-        for k in range(low, high, 8192):
-            x = np.arange(k, min(k + 8192, high))
-            bits = np.bitwise_count(hi[y][:, None] ^ hi[x]) + np.bitwise_count(lo[y][:, None] ^ lo[x])
-            near = bits <= radius
-            if near.any():
-                near &= (x < y[:, None]) & (m[x] >= m[y][:, None] * least - 1e-9)
-                yield y, x, np.where(near, bits, _FAR)
-
-
-def _sorted(table: pa.Table):
-    hi, lo, m, tag = (table.column(c).to_numpy() for c in ("hi", "lo", "m", "tag"))
-    order = np.lexsort((tag, hi, m))
-    return order, hi[order].view(np.uint64), lo[order].view(np.uint64), m[order], tag[order], table.column("home").to_numpy(zero_copy_only=False)[order]
-
-
-def _closest(radius: int, least: float):
-    """Kernel over one shard: (a, b, more) for the CLOSEST candidates b of a; more: a has others."""
-
-    def run(table: pa.Table) -> pa.Table:
-        _, hi, lo, m, tag, home = _sorted(table)
-        best = np.full((len(m), CLOSEST), _FAR, np.int64)
-        mate = np.zeros((len(m), CLOSEST), np.int64)
-        n = np.zeros(len(m), np.int64)
-        for y, x, bits in candidates(hi, lo, m, home, radius, least):
-            found = (bits < _FAR).sum(1)
-            n[y] += found
-            hit = found > 0
-            y, bits = y[hit], bits[hit].astype(np.int64)
-            both = np.concatenate([best[y], bits], axis=1)
-            who = np.concatenate([mate[y], np.broadcast_to(x, bits.shape)], axis=1)
-            keep = np.argsort(both, axis=1, kind="stable")[:, :CLOSEST]
-            best[y], mate[y] = np.take_along_axis(both, keep, 1), np.take_along_axis(who, keep, 1)
-        a, c = np.nonzero(best < _FAR)
-        return pa.table({"a": pa.array(tag[a]), "b": pa.array(tag[mate[a, c]]), "more": pa.array(n[a] > CLOSEST)})
-
-    return run
-
-
-def _others(radius: int, least: float):
-    """Kernel over one shard: every candidate pair of a document that has more, unless the two share a label."""
-
-    def run(table: pa.Table) -> pa.Table:
-        order, hi, lo, m, tag, home = _sorted(table)
-        label, more = table.column("label").to_numpy()[order], table.column("more").to_numpy(zero_copy_only=False)[order]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for y, x, bits in candidates(hi, lo, m, home & more, radius, least):
-            i, j = np.nonzero((bits < _FAR) & (label[y][:, None] != label[x]))
-            a.append(tag[y[i]])
-            b.append(tag[x[j]])
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+            if not batch.num_rows:
+                continue
+            cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+            held = cols if held is None else {n: np.concatenate([held[n], cols[n]]) for n in cols}
+            # The last cell may go on in the next batch.
+            cut = int(np.searchsorted(held["cell"], held["cell"][-1]))
+            if cut:
+                yield pairs({n: x[:cut] for n, x in held.items()})
+                held = {n: x[cut:] for n, x in held.items()}
+        if held is not None:
+            yield pairs(held)
 
     return run
 
@@ -170,68 +194,106 @@ def _verify(least: float, width: int):
     """Kernel: the pairs whose texts are similar enough."""
 
     def run(batches):
+        held = {}
+
+        def hashes(tag, text):
+            if tag not in held:
+                if len(held) > 64:
+                    held.clear()
+                held[tag] = shingle_set(text.as_py() or b"", width)
+            return held[tag]
+
         for batch in batches:
             a, b = batch.column(0), batch.column(1)
             left, right = batch.column(2), batch.column(3)
-            last, good, at = None, [], {}
-            for i in range(batch.num_rows):
-                one, two = a[i].as_py(), b[i].as_py()
-                if one != last:
-                    last, mine = one, shingle_set(left[i].as_py() or b"", width)
-                if two not in at:
-                    if len(at) > 64:
-                        at.clear()
-                    at[two] = shingle_set(right[i].as_py() or b"", width)
-                good.append(jaccard(mine, at[two]) >= least)
+            good = [jaccard(hashes(a[i].as_py(), left[i]), hashes(b[i].as_py(), right[i])) >= least for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
+def _attach(pairs: DataFrame, side: str, other: str, texts: DataFrame, name: str, total: int) -> DataFrame:
+    """The pairs with the texts of one side: a copy of a text serves _SERVED pairs, so no key fills a task."""
+    sizes = pairs.groupBy(side).agg(F.count("*").alias("n"))
+    copies = F.ceil(F.col("n") / _SERVED).cast("int")
+    dealt = lookup_groups(pairs, sizes, side, "n", total).withColumn("copy", F.pmod(F.xxhash64(other), copies)).drop("n")
+    sent = texts.withColumnRenamed("tag", side).join(sizes, side).select(side, F.col("body").alias(name), F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1)).alias("copy"))
+    return dealt.join(sent, [side, "copy"]).drop("copy")
+
+
 def _similar(pairs: DataFrame, tagged: DataFrame, least: float, width: int, name: str) -> DataFrame:
-    """The pairs (a, b), a written table, whose texts reach the similarity."""
+    """The distinct pairs (a, b) whose texts reach the similarity, as a written table."""
+    pairs = materialise(pairs.distinct(), f"{name}_pairs")
     total = pairs.count()
-    sizes_a, sizes_b = (pairs.groupBy(F.col(c).alias("tag")).agg(F.count("*").alias("n")) for c in "ab")
-    wanted = sizes_a.unionByName(sizes_b).select("tag").distinct()
+    if not total:
+        return pairs
+    wanted = pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct()
     texts = materialise(tagged.join(wanted, "tag", "left_semi"), f"{name}_texts")
-    first = texts.join(sizes_a, "tag").select(F.col("tag").alias("a"), F.col("body").alias("left"), "n")
-    second = texts.join(sizes_b, "tag").select(F.col("tag").alias("b"), F.col("body").alias("right"), "n")
-    rows = lookup_groups(pairs.select("a", "b"), first, "a", "n", total).drop("n")
-    rows = lookup_groups(materialise(rows, f"{name}_rows"), second, "b", "n", total).select("a", "b", "left", "right")
+    rows = materialise(_attach(pairs, "b", "a", texts, "right", total), f"{name}_rows")
+    rows = _attach(rows, "a", "b", texts, "left", total).select("a", "b", "left", "right")
     return materialise(rows.mapInArrow(_verify(least, width), "a long, b long"), name)
 
 
-def similar_labels(tagged: DataFrame, prints: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+def _within(hi: Column, lo: Column, m: Column, other: str, radius: int, least: float) -> Column:
+    """Whether a row can be similar to the struct `other`, as an expression."""
+    far = F.bit_count(hi.bitwiseXOR(F.col(f"{other}.hi"))) + F.bit_count(lo.bitwiseXOR(F.col(f"{other}.lo")))
+    return (far <= radius) & (F.least(m, F.col(f"{other}.m")) >= F.greatest(m, F.col(f"{other}.m")) * least - 1e-9)
+
+
+def similar_labels(tagged: DataFrame, prints: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, width: int = WIDTH, cell_rows: int | None = None) -> DataFrame:
     """(node, label): tags of documents that have a near copy, and the smallest tag reachable. `prints` is a written table."""
-    n = prints.count()
-    shards = max(1, -(-n // SHARD_ROWS), min(SHARDS, n // LEAST_ROWS))
-    bounds: list[tuple[int, int, int]] = []
-    if shards > 1:
-        every = max(1, n // SAMPLE)
-        some = sorted((r[0], r[1], r[2]) for r in prints.filter(F.expr(f"pmod(xxhash64(tag), {every}) = 0")).select("m", "hi", "tag").limit(2 * SAMPLE).collect())
-        bounds = sorted({some[len(some) * k // shards] for k in range(1, shards)}) if some else []
-    fields = "tag long, hi long, lo long, m long"
-    sent = prints.select("tag", "hi", "lo", "m").mapInArrow(_send(bounds, least), f"shard int, home boolean, {fields}")
-    found = materialise(sent.groupBy("shard").applyInArrow(_closest(radius, least), "a long, b long, more boolean"), "closest")
+    cell_rows = cell_rows or CELL_ROWS
+    rows = prints.select("tag", "hi", "lo", "m", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
+    sums = prints.agg(F.sum(F.size("keys")).alias("n")).first()
+    cells = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("tag", "hi", "lo", "m")).alias("pivot")).filter("n > 1")
+    cells = materialise(cells, "cells")
+    shared = materialise(lookup_groups(rows, cells, "key", "n", sums["n"] or 0, "inner"), "shared")
+    star = shared.filter(F.col("tag") != F.col("pivot.tag")).filter(_within(F.col("hi"), F.col("lo"), F.col("m"), "pivot", radius, least))
+    first = _similar(star.select(F.col("tag").alias("a"), F.col("pivot.tag").alias("b")), tagged, least, width, "similar")
     cell = F.concat_ws(":", "a", "b").alias("cell")
 
     def members(pairs):
         return pairs.select(F.col("a").alias("node"), cell).unionByName(pairs.select(F.col("b").alias("node"), cell))
 
-    labels = min_label_components(members(_similar(found, tagged, least, width, "similar")))
-    if not found.filter("more").limit(1).count():
-        return labels
-    more = found.filter("more").select(F.col("a").alias("tag"), F.lit(True).alias("more")).distinct()
-    marked = prints.select("tag", "hi", "lo", "m").join(labels.withColumnRenamed("node", "tag"), "tag", "left").join(more, "tag", "left")
-    marked = marked.withColumn("label", F.coalesce("label", "tag")).withColumn("more", F.coalesce("more", F.lit(False)))
-    sent = marked.mapInArrow(_send(bounds, least), f"shard int, home boolean, {fields}, label long, more boolean")
-    others = materialise(sent.groupBy("shard").applyInArrow(_others(radius, least), "a long, b long"), "others")
-    rest = _similar(others, tagged, least, width, "also_similar")
+    labels = min_label_components(members(first))
+    marked = shared.drop("pivot").join(labels.withColumnRenamed("node", "tag"), "tag", "left").withColumn("label", F.coalesce("label", "tag"))
+    marked = materialise(marked, "marked")
+    mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    fields = ("cell", "hi", "lo", "m", "tag", "label", "asks")
+    small = marked.filter(F.col("n") <= cell_rows).join(mixed, "key", "left_semi").withColumn("asks", F.lit(True)).withColumn("cell", F.col("key"))
+    small = small.repartition("cell").sortWithinPartitions("cell").select(*fields)
+    wanted = small.mapInArrow(_cell_pairs(radius, least), "a long, b long")
+    if marked.filter(F.col("n") > cell_rows).limit(1).count():
+        wanted = wanted.unionByName(_large_cells(marked.filter(F.col("n") > cell_rows), cell_rows, radius, least))
+    rest = _similar(wanted, tagged, least, width, "also_similar")
     if not rest.limit(1).count():
         return labels
     return min_label_components(members(rest).unionByName(labels.select("node", F.col("label").cast("string").alias("cell"))))
 
 
+def _large_cells(marked: DataFrame, cell_rows: int, radius: int, least: float) -> DataFrame:
+    """Candidate pairs of cells beyond `cell_rows`: rows outside a cell's largest component against all, in blocks."""
+    hot = marked.groupBy("tag").agg(F.count("*").alias("hot"), F.first("n_keys").alias("of")).filter(F.col("of") - F.col("hot") < COLD).select("tag")
+    rows = materialise(marked.join(hot, "tag", "left_semi"), "large_cells")
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("k"))
+    main = by_label.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("of"), F.max("k").alias("most"))
+    main = materialise(main.filter("of > most"), "main_labels")
+    sized = lookup_groups(rows, main.select("key", "main", "of", (F.col("of") - F.col("most")).alias("asking")), "key", "of", rows.count(), "inner")
+    ask = F.col("label") != F.col("main")
+    blocks, chunks = F.ceil(F.col("of") / cell_rows).cast("int"), F.ceil(F.col("asking") / cell_rows).cast("int")
+    own = sized.select(
+        "key", "hi", "lo", "m", "tag", "label", F.lit(False).alias("asks"),
+        F.pmod(F.xxhash64("tag"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"),
+    )
+    asking = sized.filter(ask).select(
+        "key", "hi", "lo", "m", "tag", "label", F.lit(True).alias("asks"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("tag"), chunks).cast("int").alias("chunk"),
+    )
+    dealt = own.unionByName(asking).withColumn("cell", F.xxhash64("key", "block", "chunk"))
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell").select("cell", "hi", "lo", "m", "tag", "label", "asks")
+    return dealt.mapInArrow(_cell_pairs(radius, least), "a long, b long")
+
+
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, least: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """The rows of `docs` that stay, columns as they were: the row of the smallest id of each component of near copies.
 
@@ -240,11 +302,12 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("body")
     tagged = docs.select(F.monotonically_increasing_id().alias("tag"), body)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), body)
-    prints = materialise(pairs.mapInArrow(_fingerprints(width), "tag long, id long, hi long, lo long, m long"), "wide_prints")
+    prints = materialise(pairs.mapInArrow(_fingerprints(width), "tag long, id long, hi long, lo long, m long, keys array<long>"), "wide_prints")
     labels = similar_labels(tagged, prints, radius, least, width)
     rank = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("rank"), "tag")
     linked = materialise(labels.withColumnRenamed("node", "tag").join(prints.select("tag", "id"), "tag"), "similar_groups")
     chosen = linked.groupBy("label").agg(F.min(rank).alias("first")).select(F.col("first.tag").alias("tag"))
-    gone = linked.select("tag").join(chosen, "tag", "left_anti").select(F.col("tag").alias("__gone"))
-    with_tag = docs.withColumn("__tag", F.monotonically_increasing_id())
-    return with_tag.join(gone, F.col("__tag") == F.col("__gone"), "left_anti").drop("__tag")
+    tag, gone_tag = spare_name(docs, "__tag"), spare_name(docs, "__gone")
+    gone = linked.select("tag").join(chosen, "tag", "left_anti").select(F.col("tag").alias(gone_tag))
+    with_tag = docs.withColumn(tag, F.monotonically_increasing_id())
+    return with_tag.join(gone, F.col(tag) == F.col(gone_tag), "left_anti").drop(tag)

@@ -53,9 +53,9 @@ def test_the_stage_drops_what_brute_force_drops(spark, tmp_path):
     assert sorted(r.doc_id for r in P.near_dedup(spark, docs, "").collect()) == brute_kept(rows)
 
 
-def test_many_shards_and_many_candidates_give_the_same(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(S, "LEAST_ROWS", 20)
-    monkeypatch.setattr(S, "CLOSEST", 1)
+def test_large_cells_give_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "CELL_ROWS", 8)
+    monkeypatch.setattr(S, "_SERVED", 3)
     rng = random.Random(3)
     base = [f"w{k}" for k in range(150)]
     hot = []
@@ -81,3 +81,40 @@ def test_wide_fingerprint_counts_bits():
     high, _ = S.wide_fingerprint(hashes)
     assert int(high) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in hashes) > len(hashes))
     assert S.jaccard(hashes, hashes[:5]) == 5 / 6 and S.jaccard(np.zeros(0), np.zeros(0)) == 1
+
+
+def test_a_shared_passage_links_nothing_and_hides_nothing(spark, tmp_path, monkeypatch):
+    """Every text holds one long passage, so its shingles are large cells; short ends differ or nearly agree."""
+    monkeypatch.setattr(S, "CELL_ROWS", 16)
+    rng, passage, rows = random.Random(4), " ".join(f"p{k}" for k in range(60)), []
+    for i in range(60):
+        end = [f"e{rng.randrange(10**6)}" for _ in range(rng.choice([4, 30, 120]))]
+        rows.append((len(rows), f"{passage} {' '.join(end)}"))
+        if i % 3 == 0:
+            rows.append((len(rows), f"{passage} {' '.join(end[:-1])} other"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert sorted(r.doc_id for r in S.drop_similar(docs).collect()) == brute_kept(rows)
+
+
+def test_the_tree_finds_every_pair_within_the_radius():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (40, 2)).astype(np.uint64)
+    flips = np.packbits(rng.random((900, 128)) < 0.06, axis=1, bitorder="little").view(np.uint64)
+    points = base[rng.integers(0, 40, 900)] ^ flips
+    hi, lo, asks = points[:, 0], points[:, 1], rng.random(900) < 0.5
+    got = set()
+    for i, j in S.tree_pairs(hi, lo, asks, 14):
+        got |= set(zip(i.tolist(), j.tolist()))
+    far = S.distance(hi[:, None], lo[:, None], hi, lo)
+    want = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(far <= 14))) if asks[i]}
+    assert got == want
+
+
+def test_a_long_chain_is_one_component(spark):
+    from strandlake.llm.common import min_label_components
+
+    n = 400
+    rows = [(k * 7919 % n, f"c{k}") for k in range(n)] + [((k + 1) * 7919 % n, f"c{k}") for k in range(n - 1)] + [(1000, "x"), (1001, "x"), (2000, "y")]
+    got = {r.node: r.label for r in min_label_components(spark.createDataFrame(rows, "node long, cell string")).collect()}
+    assert got == {**{k: 0 for k in range(n)}, 1000: 1000, 1001: 1000, 2000: 2000}
