@@ -5,7 +5,7 @@ from collections import defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.llm.exact_dedup import OwnedTries, RadixTrie, drop_exact_copies, exact_copies
+from strandlake.llm.exact_dedup import RadixTrie, SpillingTrie, drop_exact_copies, exact_copies
 
 
 @settings(max_examples=60, deadline=None)
@@ -18,22 +18,40 @@ def test_trie_holds_exactly_its_keys(keys):
     assert dict(trie.items()) == {k: keys.count(k) for k in keys}
 
 
-def test_tries_spill_subtrees_and_lose_nothing(tmp_path, monkeypatch):
-    monkeypatch.setenv("TMPDIR", str(tmp_path))
+def test_trie_spills_subtrees_into_few_files_and_loses_nothing(tmp_path):
     rng = random.Random(1)
-    keys = [bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(4000)]
-    tries = OwnedTries(lambda a, b: a + b, budget=20_000)
+    heads = [bytes(rng.choices(b"abc", k=30)) for _ in range(6)]
+    keys = [rng.choice(heads) + bytes(rng.choices(b"ab", k=rng.randint(0, 12))) for _ in range(6000)] + [b"", b"", b"z" * 300_000]
+    tries = SpillingTrie(lambda a, b: a + b, 200_000, str(tmp_path / "spill"))
     for k in keys:
-        tries.add(len(k) % 5, k, 1)
-    assert tries.files
-    folder = tries.folder
+        tries.add(k, 1)
+    n_files = len(list((tmp_path / "spill").iterdir()))
+    assert 2 <= n_files <= 60 and all(not a.startswith(b) for a in tries.files for b in tries.files if a != b)
     found = defaultdict(int)
     for k, v in tries.drain():
+        assert k not in found
         found[k] += v
     assert dict(found) == {k: keys.count(k) for k in set(keys)}
-    import os
+    assert not list((tmp_path / "spill").iterdir())
 
-    assert not os.path.exists(folder)
+
+def test_an_owner_holds_many_texts_in_one_trie(spark, tmp_path, monkeypatch):
+    """Owners are partitions by length and content; texts of one share their prefixes in its trie."""
+    from strandlake.llm import exact_dedup as E
+
+    rows = [(i, f"a common beginning of every text {i % 700}") for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "d"))
+    got = exact_copies(spark.read.parquet(str(tmp_path / "d")), budget=40_000).collect()
+    want = {i: max(j for j, _ in rows if j % 700 == i % 700) for i, _ in rows}
+    assert {r.doc_id: r.keep_id for r in got} == want and sum(r.kept for r in got) == 700
+
+
+def test_clashing_columns(spark, tmp_path):
+    rows = [(1, "x", 5, 6, 7, 8), (2, "X", 5, 6, 7, 8), (3, "y", 5, 6, 7, 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, best_tag long, __tag long, __kept long, __TAG_ long").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    kept = drop_exact_copies(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[1], rows[2]]
 
 
 def brute(rows):
