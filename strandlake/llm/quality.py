@@ -5,9 +5,11 @@ Gaussian kernel; tasks sum their part of the normal equations, the driver solves
 to out-of-fold scores turns ridge scores into probabilities.
 
 Only fitting is bounded: at most `max_rows` labelled rows (a hash of the id decides which) take part. Scores are given to
-every row. Defined cases: null and empty texts get a score from the statistics of the empty text; null labels are left
-out and repeated ones averaged; a null id counts as the empty string for the held-out rule and has no label; without
-labelled rows, or with one label only, the score is their mean (0.5 without any).
+every row, from its whole text, however long. Defined cases: null and empty texts get a score from the statistics of the
+empty text; null labels are left out and repeated ones averaged; rows that repeat a labelled id are all learned from;
+equal ridge scores share one calibrated level, whatever order they come in; a null id counts as the empty string for the
+held-out rule and has no label; without labelled rows, or with one label only, the score is their mean (0.5 without any);
+an empty table gives an empty result; input columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import materialise
+from strandlake.llm.common import materialise, spare_name
 
 #: Labelled rows that a fit uses at most.
 MAX_ROWS = 100_000
@@ -105,11 +107,12 @@ class Model:
 
 
 def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; knots at the blocks' mean scores, so that interpolation keeps the order of scores."""
-    order = np.argsort(scores, kind="stable")
+    """Pool adjacent violators over distinct scores; knots at the blocks' mean scores, so that interpolation keeps their order."""
+    distinct, at, times = np.unique(scores, return_inverse=True, return_counts=True)
+    sums = np.bincount(at, labels, len(distinct))
     blocks: list[list[float]] = []
-    for s, y in zip(scores[order].tolist(), labels[order].tolist()):
-        blocks.append([y, 1.0, s])
+    for s, y, n in zip(distinct.tolist(), sums.tolist(), times.tolist()):
+        blocks.append([y, float(n), s * n])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             y2, n2, s2 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + y2, blocks[-1][1] + n2, blocks[-1][2] + s2]
@@ -124,8 +127,8 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def _body(text_col: str):
-    return F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("__body")
+def _body(text_col: str, name: str = "__body"):
+    return F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias(name)
 
 
 def _describe(batches):
@@ -142,7 +145,9 @@ def _equations(model: Model):
     """Kernel: a task's part of the normal equations of each fold, a row of the matrix at a time."""
 
     def run(batches):
-        sums: dict = {}
+        from pyspark import TaskContext
+
+        part, sums = TaskContext.get().partitionId(), {}
         for batch in batches:
             x = np.array(batch.column(2).to_pylist(), np.float64).reshape(batch.num_rows, -1)
             y, fold = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -152,15 +157,16 @@ def _equations(model: Model):
                 sums[f] = sums.get(f, 0) + a.T @ a
         for f, m in sums.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(m), f, np.int32)), pa.array(np.arange(len(m), dtype=np.int32)), pa.array(m.tolist(), pa.list_(pa.float64()))],
-                names=["fold", "row", "v"],
+                [pa.array(np.full(len(m), k, np.int32)) for k in (part, f)] + [pa.array(np.arange(len(m), dtype=np.int32)), pa.array(m.tolist(), pa.list_(pa.float64()))],
+                names=["part", "fold", "row", "v"],
             )
 
     return run
 
 
 def _add_rows(table: pa.Table) -> pa.Table:
-    v = np.sum(np.array(table.column("v").to_pylist()), axis=0)
+    # In the tasks' order, so that the sum is the same each time.
+    v = np.sum(np.array(table.sort_by("part").column("v").to_pylist()), axis=0)
     return pa.table({"fold": table.column("fold")[:1], "row": table.column("row")[:1], "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
 
@@ -173,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     if total > max_rows:
         known = known.filter(F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * max_rows / total))
     # Bounded by max_rows, a few MB.
-    picked = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).select(
-        "y", F.pmod(F.xxhash64("__id", F.lit(seed + 1)), F.lit(FOLDS)).cast("int").alias("fold"), _body(text_col)
+    texts = docs.select(F.col(id_col).alias("__doc"), _body(text_col))
+    picked = texts.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select(
+        "y", F.pmod(F.xxhash64("__id", F.lit(seed + 1)), F.lit(FOLDS)).cast("int").alias("fold"), "__body"
     )
     described = materialise(picked.mapInArrow(_describe, "y double, fold int, x array<float>"), "described")
     moments = described.agg(F.count("*").alias("n"), F.avg("y").alias("y"), F.min("y").alias("low"), F.max("y").alias("high")).first()
@@ -185,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     per = FEATURES // len(WIDTHS)
     omega = np.concatenate([rng.normal(0, 1 / (w * math.sqrt(len(mean))), (len(mean), per)) for w in WIDTHS], axis=1)
     model = Model(mean, scale, omega, rng.uniform(0, 2 * math.pi, omega.shape[1]), None, None, None)
-    parts = described.mapInArrow(_equations(model), "fold int, row int, v array<double>")
+    parts = described.mapInArrow(_equations(model), "part int, fold int, row int, v array<double>")
     summed = parts.groupBy("fold", "row").applyInArrow(_add_rows, "fold int, row int, v array<double>").orderBy("fold", "row").collect()
     by_fold = {f: np.array([r["v"] for r in summed if r["fold"] == f]) for f in {r["fold"] for r in summed}}
     whole = sum(by_fold.values())
@@ -218,22 +225,22 @@ def _out_of_fold(model: Model, apart: dict):
     return run
 
 
-def _scores(model: Model):
+def _scores(model: Model, name: str):
     def run(batches):
         for batch in batches:
             bodies = batch.column(batch.num_columns - 1)
             x = np.array([statistics(bodies[i].as_py()) for i in range(batch.num_rows)], np.float64).reshape(batch.num_rows, N_STATISTICS)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(model.score(x), pa.float64())], names=[*batch.schema.names[:-1], "__score"]
+                [*batch.columns[:-1], pa.array(model.score(x), pa.float64())], names=[*batch.schema.names[:-1], name]
             )
 
     return run
 
 
-def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, plus __score double: the calibrated probability of label 1."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    return docs.select("*", _body(text_col)).mapInArrow(_scores(model), schema)
+def score_texts(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
+    """All columns of `docs`, plus the calibrated probability of label 1, double, under a name that `docs` does not have."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.select("*", _body(text_col, spare_name(docs, "__body"))).mapInArrow(_scores(model, name), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
@@ -247,5 +254,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, l
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of `docs` that the classifier accepts, columns as they were."""
-    model = fit(docs, labels, label_col, max_rows=max_rows)
-    return score_texts(docs, model).filter(F.col("__score") >= threshold).drop("__score")
+    model, score = fit(docs, labels, label_col, max_rows=max_rows), spare_name(docs, "__score")
+    return score_texts(docs, model, name=score).filter(F.col(score) >= threshold).drop(score)

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from strandlake.llm import langid as L
@@ -18,6 +20,47 @@ def test_isotonic_is_monotone_and_fits_means():
     assert (np.diff(knots) > 0).all() and (np.diff(levels) >= -1e-12).all() and 0 < levels[0] and levels[-1] < 1
 
 
+def test_isotonic_pools_equal_scores_in_any_order():
+    s, y = np.array([0.5, 0.5, 0.5, 0.5, 0.9]), np.array([0.0, 0, 1, 1, 1])
+    for order in ([0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [2, 0, 4, 3, 1]):
+        knots, levels = Q.isotonic(s[order], y[order])
+        assert knots.tolist() == [0.5, 0.9] and levels[0] == 0.5
+
+
+def test_fit_equals_a_direct_solve(spark):
+    """The partition-summed equations, ridge weights and calibration against NumPy over all rows at once."""
+    docs, labels = noisy(spark)
+    model = Q.fit(docs.repartition(5), labels)
+    known = {}
+    for r in labels.collect():
+        if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            known.setdefault(r.doc_id, []).append(r.quality)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect() if r.doc_id in known]
+    x, y = np.array([Q.statistics(t) for _, t in rows], np.float64), np.array([np.mean(known[i]) for i, _ in rows])
+    assert np.allclose(model.mean, x.mean(0), atol=1e-6) and np.allclose(model.scale, np.maximum(x.std(0), 1e-3), atol=1e-6)
+    z = model.expand(x)
+    ridge = lambda a, b: np.linalg.solve(a.T @ a + Q.RIDGE * np.eye(a.shape[1]), a.T @ b)
+    assert np.allclose(z @ ridge(z, y), z @ model.weights, atol=1e-5)
+    fold = {r.i: r.f for r in spark.range(400).selectExpr("id AS i", f"pmod(xxhash64(id, {5 + 1}), {Q.FOLDS}) AS f").collect()}
+    f = np.array([fold[i] for i, _ in rows])
+    out = np.zeros(len(rows))
+    for k in range(Q.FOLDS):
+        out[f == k] = z[f == k] @ ridge(z[f != k], y[f != k])
+    knots, levels = Q.isotonic(out, y)
+    at = np.linspace(-0.5, 1.5, 50)
+    assert np.allclose(np.interp(at, knots, levels), np.interp(at, model.knots, model.levels), atol=0.02)
+
+
+def test_quality_of_odd_rows_and_clashing_columns(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 10)], "doc_id long, quality int")
+    docs = odd_docs.selectExpr("*", "1 AS __id", "2 AS __doc", "3 AS __body", "4 AS __score", "5 AS quality", "6 AS fold")
+    got = Q.quality_scores(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    kept = Q.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
+    assert Q.keep_good(no_docs, labels).count() == 0
+
+
 def test_features_approximate_the_gaussian_kernel():
     rng = np.random.default_rng(0)
     d, f = 5, 6000
