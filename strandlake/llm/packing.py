@@ -2,13 +2,15 @@
 
 A task tokenises its documents and packs them as they come. A document longer than a window gives off full windows; what
 remains is placed, whole, into the open fill level that minimises the sum over levels of the squared number of partially
-filled windows, tracked in an array by level. When a task's rows end, the windows still open are topped up by cutting
-the emptiest ones apart, and the last rest is cut into power-of-two sequences, which need no padding.
+filled windows, tracked in an array by level; ties go to the fullest level. When a task's rows end, the windows still
+open are topped up by cutting the emptiest ones apart, and the last rest is cut into power-of-two sequences, which need
+no padding. The windows closed that way are a number that hardly grows with the task, so the rule's own share grows with
+the documents of a task.
 
 Tokens come from a public word-level BPE. Merges never cross its pre-tokens, so a text is split by the tokenizer's own
 pattern and each distinct pre-token is encoded once.
 
-Defined cases: a null or empty text is a document of the end token alone; repeated rows and repeated ids are packed as
+Defined cases: a null or empty text is a document of the end token alone; a text of any length is tokenised whole; repeated rows and repeated ids are packed as
 separate documents; an empty table gives an empty result; only the id and the text are read, whatever other columns are
 called. Sequence ids are unique; they are gapless within a task only.
 """
@@ -31,8 +33,9 @@ WINDOW = 4096
 END = 2
 #: Fixed value: the pre-token pattern of the tokenizer file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Distinct blank-free chunks whose ids a worker remembers.
-MEMORY = 400_000
+#: Bytes of blank-free chunks and their ids that a worker remembers, and the characters of the longest such chunk.
+MEMORY_BYTES = 64 << 20
+MEMORY_CHUNK = 64
 #: Control characters that str.split takes for blanks and the pattern does not.
 _ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 
@@ -44,10 +47,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else next(rest) for b in range(256)}
 
 
-def _memory(path: str) -> dict:
-    """A dictionary that outlives the task in its worker process."""
+def _memory(path: str) -> tuple[dict, list[int]]:
+    """A dictionary that outlives the task in its worker process, and its bytes."""
     held = sys.modules.setdefault("_strandlake_memory", types.ModuleType("_strandlake_memory"))
-    return held.__dict__.setdefault(f"ids of {path}", {})
+    return held.__dict__.setdefault(f"ids of {path}", ({}, [0]))
 
 
 class WordTokenizer:
@@ -61,7 +64,7 @@ class WordTokenizer:
         self.split = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}")).findall
         self.letters = byte_letters()
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
-        self.known = _memory(path)
+        self.known, self.size = _memory(path)
         self.end = np.array([END], "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
@@ -79,11 +82,20 @@ class WordTokenizer:
         if any(c in low for c in _ODD_BLANKS):
             return np.frombuffer(self._chunk(low) + self.end, "<u4")
         chunks, known = low.split(), self.known
-        if len(known) > MEMORY:
-            known.clear()
-        for c in set(chunks).difference(known):
+        fresh = set(chunks).difference(known)
+        for c in fresh:
             known[c] = self._chunk(c)
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)) + self.end, "<u4")
+        ids = np.frombuffer(b"".join(map(known.__getitem__, chunks)) + self.end, "<u4")
+        for c in fresh:
+            if len(c) > MEMORY_CHUNK:
+                del known[c]
+            else:
+                # A dictionary entry costs about 150 bytes besides the text and its ids.
+                self.size[0] += 150 + 4 * len(c) + len(known[c])
+        if self.size[0] > MEMORY_BYTES:
+            known.clear()
+            self.size[0] = 0
+        return ids
 
 
 class SumOfSquares:

@@ -71,3 +71,25 @@ def test_documents_round_trip(odd_docs, no_docs):
     sums = {zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) for r in got for d, x in ids if d == r.doc_id and len(x) == r.doc_tokens}
     assert {r.ids_crc32 for r in got} <= sums
     assert P.pack_documents(no_docs, PATH).count() == 0
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    its, own = Tokenizer.from_file(PATH), P.WordTokenizer(PATH)
+    monkeypatch.setattr(P, "MEMORY_BYTES", 4000)
+    for k in range(60):
+        text = f"words {k} of many kinds {'q' * (50 + k)} more{k}"
+        assert own.ids(text).tolist() == [*its.encode(text, add_special_tokens=False).ids, P.END]
+        assert sum(150 + 4 * len(c) + len(b) for c, b in own.known.items()) <= 4000 and all(len(c) <= P.MEMORY_CHUNK for c in own.known)
+
+
+def test_the_rules_share_grows_with_the_documents():
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (100, 1000, 10_000):
+        p, ruled = P.Packer(256), 0
+        for i, size in enumerate(rng.integers(1, 200, n).tolist()):
+            p.add(i, size)
+        ruled = sum(k[2] for k in p.done)
+        p.finish()
+        shares.append(ruled / sum(k[2] for k in p.done))
+    assert shares[0] < shares[1] < shares[2] and shares[2] > 0.8
