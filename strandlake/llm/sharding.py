@@ -8,7 +8,7 @@ partitions, each node splitting its cell counts by a multivariate hypergeometric
 
 Law: `rows`. Shard sizes differ by one at most. Equal texts are dealt independently, as a uniform shuffle asks.
 
-Defined cases: null values anywhere are carried along; repeated rows are separate rows; an empty table gives an empty
+Defined cases: equal draws within a cell (a chance of 2 ** -62 a pair) go in any order; rows of any length are carried whole; null values anywhere are carried along; repeated rows are separate rows; an empty table gives an empty
 result; the operator's own columns are shard and slot, and an input column of the same name is replaced.
 """
 
@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a cell, the unit one task permutes, holds at most.
+#: Rows that a cell, the unit one task permutes, holds at most, and bytes of text, on average.
 CELL_ROWS = 200_000
+CELL_BYTES = 64 << 20
 #: Largest population NumPy draws hypergeometric samples from.
 _NUMPY_MOST = 900_000_000
 
@@ -114,9 +115,12 @@ def _deal(seed: int, ends: np.ndarray, cells: np.ndarray):
     return run
 
 
-def shard_rows(docs: DataFrame, n_shards: int = 16, seed: int = 17, cell_rows: int = CELL_ROWS) -> DataFrame:
+def shard_rows(docs: DataFrame, n_shards: int = 16, seed: int = 17, cell_rows: int = CELL_ROWS, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """All columns of `docs`, plus shard int and slot long: a uniform random permutation cut into exact shards.
 
+    A cell holds at most `cell_rows` rows, and about `cell_bytes` bytes: rows are dealt at random, so a cell's bytes
+    differ from the average by chance, and by the longest row.
+
     `docs` is scanned twice, once to count its partitions, and must give the same partitions each time, as a table read
     from files does; a task that meets other counts fails instead of dealing wrong rows.
     """
@@ -124,12 +128,14 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, seed: int = 17, cell_rows: i
     spark = docs.sparkSession
     n_parts = docs.rdd.getNumPartitions()
     # One number for each input partition, whatever the rows.
-    counts = {r[0]: r[1] for r in docs.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()}
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in docs.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    sizes = docs.select(F.spark_partition_id().alias("p"), sum(texts, F.lit(0).cast("long")).alias("b")).groupBy("p").agg(F.count("*"), F.sum("b")).collect()
+    counts, total_bytes = {r[0]: r[1] for r in sizes}, sum(r[2] for r in sizes)
     ends = np.concatenate([[0], np.cumsum([counts.get(p, 0) for p in range(n_parts)], dtype=np.int64)])
     total = int(ends[-1])
     schema = docs.select("*", F.lit(0).alias("__cell"), F.lit(0).cast("long").alias("__draw")).schema
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    per_shard = max(1, -(-total // (n_shards * cell_rows)), -(-min(width, total) // n_shards))
+    per_shard = max(1, -(-total // (n_shards * cell_rows)), min(-(-total_bytes // (n_shards * cell_bytes)), -(-total // n_shards)), -(-min(width, total) // n_shards))
     cells = cell_sizes(total, n_shards, per_shard)
     dealt = docs.mapInArrow(_deal(seed, ends, cells), schema).repartition("__cell")
     # Cells come shard by shard and, within a shard, the larger ones first: their starts follow from arithmetic.

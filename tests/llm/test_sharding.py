@@ -48,3 +48,25 @@ def test_other_counts_raise():
     kernel = S._deal(1, np.array([0, 1]), np.array([1]))
     with pytest.raises(Exception):
         list(kernel(iter([])))
+
+
+def test_small_cells_by_bytes_keep_the_law(spark, odd_docs):
+    rows = S.shard_rows(odd_docs, 3, cell_bytes=50).collect()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == odd_docs.count() and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_the_table_is_drawn_exactly():
+    """Every 2 x 2 table of the communication matrix comes as often as a uniform shuffle gives it (brute force)."""
+    from collections import Counter
+    from itertools import permutations
+
+    ends, cells = np.array([0, 2, 5]), np.array([3, 2])
+    want = Counter()
+    for p in permutations(range(5)):
+        want[sum(1 for place in p[:2] if place < 3)] += 1 / 120
+    got = Counter(int(S.matrix_row(seed, ends, cells, 0)[0]) for seed in range(3000))
+    assert all(abs(got[k] / 3000 - want[k]) < 0.04 for k in want) and set(got) <= set(want)
