@@ -1,17 +1,19 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Every benchmark item of m word shingles is compared with each run of m shingles of a document (the whole document where
-it is shorter). A window's SimHash is looked up in a multi-index of the items of that size: the fingerprint is cut into
-blocks, and a fingerprint within the radius must lie within radius / blocks bits of an item's in one block at least, so
-scanning the distinct block values finds every item within the radius. Candidates are verified by the exact similarity
-of the two multisets of shingles: sum of least counts over sum of greatest counts.
-
-Before windows are fingerprinted, a count rules out those that cannot reach the similarity: a window must hold enough
-shingles that occur in some item. That drops no window that verification would keep.
-
-Items go to the tasks in blocks of at most BLOCK_ITEMS, a bounded query set against all rows. Defined cases: null or
-empty texts and items match nothing; items or documents of fewer words than a shingle form one shingle of all their
-words; repeated rows and items match alike; nulls in ids are carried.
+it is shorter). A window that shares no shingle with any item has similarity 0 to all of them; every other window gets a
+SimHash of 128 bits, which a multi-index of the items of that size answers: fingerprints are cut into blocks, and block
+radii that sum to radius - blocks + 1 guarantee that a fingerprint within the radius lies within its block's radius in
+one block at least. Candidates are verified by the exact similarity of the two multisets of shingles: sum of least
+counts over sum of greatest counts. At similarity 0.8 about 19 bits differ, with a deviation of 4, so the radius of 40
+passes over no similar window but for a chance below one in a million.
+
+An item of fewer words than a shingle is one shingle of its own width, and found wherever those words stand.
+
+Items go to the tasks in blocks of at most BLOCK_ITEMS items and about BLOCK_BYTES bytes, a bounded query set against all
+rows. Defined cases: null or empty texts and items match nothing; documents of fewer words than a shingle form one
+shingle of all their words; texts of any length are searched whole; of equally similar windows the first is reported;
+repeated rows and items match alike; nulls in ids are carried; input columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ from pyspark.sql import functions as F
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Bits by which fingerprints of similar windows may differ. At similarity 0.8 the expected difference is 10 bits, with a
-#: standard deviation of 3.
-RADIUS = 24
+#: Bits, of 128, by which fingerprints of similar windows may differ, and the blocks of the index.
+RADIUS = 40
 BLOCKS = 4
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 64 << 20
+#: Cells of a table that a look-up holds at a time.
+_CELLS = 1 << 21
 _WORDS = re.compile(r"\w+").findall
-_LANES = (np.arange(8) * 256).astype(np.int64)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -60,35 +63,56 @@ def shingle_hashes(shingles: list[tuple]) -> np.ndarray:
     return np.fromiter((h(" ".join(s).encode()) for s in shingles), np.uint64, len(shingles))
 
 
-def window_prints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of hashes[s : s + size] for every start: sign of the summed bit votes."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little").astype(np.int32)
-    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+def vote_sums(hashes: np.ndarray) -> np.ndarray:
+    """Running counts of each of 128 bits: those of the hashes, and those of the hashes mixed."""
+    x = hashes.copy()
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    both = np.stack([hashes, x ^ (x >> np.uint64(31))], axis=1)
+    bits = np.unpackbits(both.view(np.uint8).reshape(len(hashes), 16), axis=1, bitorder="little")
+    return np.concatenate([np.zeros((1, 128), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+
+
+def window_prints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """SimHash, as a row of four 32-bit blocks, of hashes[s : s + size] for every start: sign of the summed bit votes."""
     votes = (sums[starts + size] - sums[starts]) * 2 > size
-    return np.packbits(votes, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return np.packbits(votes, axis=1, bitorder="little").view(np.uint32)
 
 
 class MultiIndex:
     """Fingerprints by block values; `within` finds every entry within the radius of each mark."""
 
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
-        self.prints, self.radius, self.blocks = prints, radius, blocks
-        self.bits = 64 // blocks
-        # Of each block: its distinct values, and the entries' places among them.
-        self.tables = [np.unique(self._block(prints, b), return_inverse=True) for b in range(blocks)]
-
-    def _block(self, prints, b):
-        return (prints >> np.uint64(b * self.bits)) & np.uint64((1 << self.bits) - 1)
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS):
+        self.prints, self.radius = prints, radius
+        n = prints.shape[1]
+        # If every block differed by more than its radius, the whole would differ by more than radius bits.
+        most = max(radius - n + 1, 0)
+        self.near = [most // n + (b < most % n) for b in range(n)]
+        # Of each block: its distinct values, and the entries that hold each.
+        self.tables = []
+        for b in range(n):
+            values, at = np.unique(prints[:, b], return_inverse=True)
+            self.tables.append((values, np.argsort(at, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(values)))])))
+
+    def candidates(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (mark, entry) that are near in one block at least."""
+        codes = []
+        for b, (values, entry, ends) in enumerate(self.tables):
+            m, v = np.nonzero(np.bitwise_count(marks[:, b, None] ^ values) <= self.near[b])
+            times = ends[v + 1] - ends[v]
+            offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            codes.append(np.repeat(m, times) * len(self.prints) + entry[np.repeat(ends[v], times) + offset])
+        found = np.unique(np.concatenate(codes))
+        return found // len(self.prints), found % len(self.prints)
 
     def within(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(mark, entry) of every pair within the radius: such a pair is near in one block at least."""
-        near = np.zeros((len(marks), len(self.prints)), bool)
-        for b, (values, entry) in enumerate(self.tables):
-            close = np.bitwise_count(self._block(marks, b)[:, None] ^ values[None, :]) <= self.radius // self.blocks
-            near |= close[:, entry]
-        m, e = np.nonzero(near)
-        keep = np.bitwise_count(marks[m] ^ self.prints[e]) <= self.radius
-        return m[keep], e[keep]
+        """(mark, entry) of every pair within the radius, in order."""
+        step, out = max(1, _CELLS // len(self.prints)), []
+        for i in range(0, len(marks), step):
+            m, e = self.candidates(marks[i : i + step])
+            keep = np.bitwise_count(marks[i + m] ^ self.prints[e]).sum(1) <= self.radius
+            out.append((i + m[keep], e[keep]))
+        return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
 
 
 _MARKS = 24
@@ -108,69 +132,57 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]], least: float = SIMILARITY, width: int = WIDTH):
         self.least, self.width = least, width
-        self.items = []
-        for item_id, text in items:
-            shingles = shingles_of(words_of(text), width)
-            if shingles:
-                self.items.append((item_id, Counter(shingles), len(shingles), shingles))
+        self.items: list[tuple[int, Counter]] = []
         self.vocabulary: dict[str, int] = {}
         self.known: set = set()
-        by_size: dict[int, list[int]] = {}
-        for i, (_, counts, m, shingles) in enumerate(self.items):
-            by_size.setdefault(m, []).append(i)
-            self.known.update(counts)
-            for s in shingles:
-                for w in s:
-                    self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
+        #: Items of fewer words than a shingle: width -> words -> positions of items.
+        self.short: dict[int, dict[tuple, list[int]]] = {}
         self.marked = np.zeros(1 << _MARKS, bool)
-        for _, _, _, shingles in self.items:
-            for s in shingles:
-                codes = np.array([self.vocabulary[w] for w in s], np.uint64)
-                self.marked[_mix(codes, 1, len(s))[0]] = True
-        self.sizes = {}
-        for m, members in sorted(by_size.items()):
-            prints = np.concatenate([window_prints(shingle_hashes(self.items[i][3]), np.zeros(1, np.int64), m) for i in members])
-            self.sizes[m] = (members, MultiIndex(prints))
-        self.items = [(item_id, counts) for item_id, counts, _, _ in self.items]
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for item_id, text in items:
+            words = words_of(text)
+            if not words:
+                continue
+            shingles = shingles_of(words, width)
+            if len(words) < width:
+                self.short.setdefault(len(words), {}).setdefault(shingles[0], []).append(len(self.items))
+            else:
+                sums = vote_sums(shingle_hashes(shingles))
+                by_size.setdefault(len(shingles), []).append((len(self.items), window_prints(sums, np.zeros(1, np.int64), len(shingles))[0]))
+                self.known.update(shingles)
+                codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
+                self.marked[_mix(codes, len(shingles), width)[0]] = True
+            self.items.append((item_id, Counter(shingles)))
+        self.sizes = {m: ([i for i, _ in some], MultiIndex(np.array([p for _, p in some]))) for m, some in sorted(by_size.items())}
 
     def matches(self, text: str | None) -> dict[int, tuple[float, int, int]]:
         """Items that the text holds: position of the item -> (similarity, first word of the best window, bits)."""
         words = words_of(text)
-        if not words or not self.items:
-            return {}
-        n = max(len(words) - self.width + 1, 1)
+        best: dict[int, tuple[float, int, int]] = {}
+        for k, table in self.short.items():
+            for s in range(len(words) - k + 1):
+                for i in table.get(tuple(words[s : s + k]), ()):
+                    best.setdefault(i, (1.0, s, 0))
+        if len(words) < self.width or not self.sizes:
+            return best
+        n = len(words) - self.width + 1
         get = self.vocabulary.get
         codes = np.array([get(w, 0) for w in words], np.uint64)
         # A shingle can only be an item's if all its words are some item's and its mixed code is marked.
-        mixed, live = _mix(codes, n, min(self.width, len(words)))
-        places = np.nonzero(live & self.marked[mixed])[0]
-        if not len(places):
-            return {}
+        mixed, live = _mix(codes, n, self.width)
         hit = np.zeros(n + 1, np.int64)
-        for p in places.tolist():
-            if tuple(words[p : p + self.width]) in self.known:
-                hit[p + 1] = 1
-        total = int(hit.sum())
-        if not total:
-            return {}
+        for p in np.nonzero(live & self.marked[mixed])[0].tolist():
+            hit[p + 1] = tuple(words[p : p + self.width]) in self.known
+        if not hit.any():
+            return best
         held = np.cumsum(hit)
-        shingles = hashes = None
-        best: dict[int, tuple[float, int, int]] = {}
+        shingles = shingles_of(words, self.width)
         for m, (members, index) in self.sizes.items():
             size = min(m, n)
-            # least shared = s / (1 + s) * (both sizes), from s <= shared / (sizes - shared)
-            need = self.least / (1 + self.least) * (size + m) - 1e-9
-            if total < need:
-                continue
-            starts = np.nonzero(held[size:] - held[: n - size + 1] >= need)[0]
-            if not len(starts):
-                continue
-            if shingles is None:
-                shingles = shingles_of(words, self.width)
+            starts = np.nonzero(held[size:] > held[: n - size + 1])[0]
             for group in np.split(starts, np.nonzero(np.diff(starts) > size)[0] + 1):
                 low, high = int(group[0]), int(group[-1]) + size
-                hashes = shingle_hashes(shingles[low:high])
-                marks = window_prints(hashes, group - low, size)
+                marks = window_prints(vote_sums(shingle_hashes(shingles[low:high])), group - low, size)
                 held_by: dict[int, Counter] = {}
                 for w, j in zip(*(x.tolist() for x in index.within(marks))):
                     s, i = int(group[w]), members[j]
@@ -178,17 +190,17 @@ class Benchmark:
                         held_by[w] = Counter(shingles[s : s + size])
                     value = similarity(held_by[w], self.items[i][1])
                     if value >= self.least and (i not in best or value > best[i][0]):
-                        best[i] = (value, s, int(np.bitwise_count(index.prints[j] ^ marks[w])))
+                        best[i] = (value, s, int(np.bitwise_count(index.prints[j] ^ marks[w]).sum()))
         return best
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str):
     """The items in bounded lists."""
     rows = items.select(F.col(id_col).cast("long"), F.col(text_col))
-    n = rows.count()
-    parts = max(1, -(-n // BLOCK_ITEMS))
+    sizes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    parts = max(1, -(-sizes[0] // BLOCK_ITEMS), -(-sizes[1] // BLOCK_BYTES))
     for p in range(parts):
-        some = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64(text_col), F.lit(parts)) == p)
+        some = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64(text_col, id_col), F.lit(parts)) == p)
         yield sorted(((r[0], r[1]) for r in some.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
 
 
