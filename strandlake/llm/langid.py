@@ -1,14 +1,16 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Every word of a text is a position of the chain; a word of more than 24 bytes is several, one a piece. Its potentials come from hashed affixes and character n-grams and from
-lexicons learned for each language; transitions between languages are learned from sequences that splice runs of words
+Every word of a text is a position of the chain; a word of more than 24 bytes is several, one a piece. Its potentials
+come from hashed affixes and character n-grams and from lexicons learned for each language; transitions between languages are learned from sequences that splice runs of words
 of different languages. Forward-backward gives each word's label probabilities, so code-switched text is labelled word
 by word; a document's language is the one with the largest summed probability.
 
 Only fitting is bounded: at most DOCS_PER_LANGUAGE documents a language (a hash of the id decides which), a run of at
 most FIT_BYTES of each. Every document and every whole text is labelled. Defined cases: a null text, or one without a letter, is
 `und` with score 0; without any document to learn from every text is `und`; a null id counts as the empty string for the
-held-out rule; repeated rows are labelled alike.
+held-out rule; repeated rows are labelled alike; languages of equal probability go to the first in the order of their
+names; a text of any length is labelled whole; an empty table gives an empty result; other columns than id, text and
+language are not read, and the kept ones may have any name.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlake.llm.common import spare_name
+
 DOCS_PER_LANGUAGE = 300
 FIT_BYTES = 20_000
 LEXICON_WORDS = 5_000
@@ -296,6 +300,7 @@ def held_out(id_col: str = "doc_id"):
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> Crf | None:
     """Learn from documents that are not held out and whose language is known; None if there are none."""
+    docs = docs.select(id_col, text_col, lang_col)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     counts = known.groupBy(lang_col).count().collect()
     if not counts:
@@ -342,7 +347,7 @@ def _label(model: Crf):
 
 def predict_languages(docs: DataFrame, model: Crf | None, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
     """The `keep` columns of each row, plus lang_pred string and score double."""
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    rows = docs.select(*keep, F.col(text_col).alias(spare_name(docs, "__text")))
     if model is None:
         return rows.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -3,12 +3,14 @@
 A document's fingerprint is the majority vote of the 64-bit hashes of its word shingles. Distinct fingerprints are
 partitioned into shards by a vantage-point tree in Hamming space, fitted on a bounded sample; every fingerprint is
 indexed in its home shard and also sent, as a visitor, to each later shard that its search ball overlaps by the triangle
-bounds. In a shard a local vantage-point tree finds the exact pairs within the radius, and the pairs shrink to local
-groups at once. Groups of all shards are joined into components by rounds of smallest labels over written tables.
+bounds. Visitors of a shard come in chunks, each met with the shard's own fingerprints in a task of its own, so no group
+grows beyond a shard and a chunk. There a local vantage-point tree finds the exact pairs within the radius, and the pairs
+shrink to local groups at once. Groups of all shards are joined into components by rounds of smallest labels over written tables.
 
-Defined cases: a null text counts as empty; a text without words has fingerprint zero, linked like any other; a null id
+Defined cases: a null text counts as empty; texts of any length are read whole; a text without words has fingerprint zero, linked like any other; a null id
 is never a component's id unless all its members' ids are null; repeated rows are separate members; an empty table gives
-an empty result.
+an empty result; rows that tie on the id of a component's first row go by their place in the scan; input columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import lookup_groups, materialise, min_label_components
+from strandlake.llm.common import lookup_groups, materialise, min_label_components, spare_name
 
 #: Distinct fingerprints from which the shard tree is fitted, at most; all fingerprints are indexed.
 SAMPLE = 8192
@@ -27,6 +29,8 @@ SAMPLE = 8192
 #: shards mean more visitors, so their number follows the parallelism until shards grow too large.
 SHARD_ROWS = 262_144
 LEAST_ROWS = 2048
+#: Visitors of a chunk, about.
+VISITORS = 524_288
 _LEAF = 256
 #: bit j of each byte value
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -178,8 +182,8 @@ class Groups:
             np.minimum.at(self.up, a, b)
 
 
-def link_shard(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
-    """Group numbers of the points: linked where a point lies within the radius of a home point, by a local tree."""
+def link_shard(points: np.ndarray, home: np.ndarray, radius: int, asks: np.ndarray | None = None) -> np.ndarray:
+    """Group numbers of the points: linked where an asking point (all, if not given) lies within the radius of a home point, by a local tree."""
     groups, rng = Groups(len(points)), np.random.default_rng(11)
 
     def search(own, asking):
@@ -199,14 +203,14 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
                 for k in range(0, len(asking), 1024):
                     ask = asking[k : k + 1024]
                     x, y = np.nonzero(hamming(points[ask][:, None], points[block][None, :]) <= radius)
-                    if len(x) > len(ask) or len(x):
+                    if len(x):
                         groups.link(ask[x], block[y])
             return
         d_ask = hamming(points[asking], np.uint64(pivot))
         search(own[split], asking[d_ask - radius <= median])
         search(own[~split], asking[d_ask + radius > median])
 
-    search(np.nonzero(home)[0], np.arange(len(points)))
+    search(np.nonzero(home)[0], np.arange(len(points)) if asks is None else np.nonzero(asks)[0])
     return groups.roots()
 
 
@@ -217,11 +221,13 @@ def _pairs(radius: int):
         prints = table.column("fp").to_numpy()
         order = np.argsort(prints, kind="stable")
         prints, home = prints[order], table.column("home").to_numpy()[order]
-        root = link_shard(prints.view(np.uint64), home, radius)
+        chunk = table.column("chunk")[0].as_py()
+        # The home points meet each other in the first chunk.
+        root = link_shard(prints.view(np.uint64), home, radius, None if chunk == 0 else ~home)
         sizes = np.bincount(root, minlength=len(root))
         keep = sizes[root] > 1
         shard = table.column("shard")[0].as_py()
-        cells = [f"{shard}:{prints[r]}" for r in root[keep]]
+        cells = [f"{shard}:{chunk}:{prints[r]}" for r in root[keep]]
         return pa.table({"node": pa.array(prints[keep], pa.int64()), "cell": pa.array(cells, pa.string())})
 
     return run
@@ -237,7 +243,19 @@ def fingerprint_links(prints: DataFrame, n: int, radius: int) -> DataFrame:
         sample = prints.filter(F.expr(f"pmod(xxhash64(fp), {every}) = 0")).select("fp").limit(2 * SAMPLE).collect()
         tree = shard_tree(np.array(sorted(r[0] for r in sample), np.int64).view(np.uint64), leaves)
     sent = prints.select("fp").mapInArrow(_send(tree, radius), "shard int, fp long, home boolean")
-    return sent.groupBy("shard").applyInArrow(_pairs(radius), "node long, cell string")
+    if leaves == 1:
+        return sent.withColumn("chunk", F.lit(0)).groupBy("shard", "chunk").applyInArrow(_pairs(radius), "node long, cell string")
+    sent = materialise(sent, "sent")
+    # One number for each shard, whatever the fingerprints.
+    visitors = {r[0]: r[1] for r in sent.filter("not home").groupBy("shard").count().collect()}
+    chunks = {s: -(-k // VISITORS) for s, k in visitors.items() if k > VISITORS}
+    of = F.lit(1)
+    if chunks:
+        table = F.broadcast(prints.sparkSession.createDataFrame(list(chunks.items()), "shard int, of int"))
+        sent, of = sent.join(table, "shard", "left"), F.coalesce("of", F.lit(1))
+    every = F.when(F.col("home"), F.sequence(F.lit(0), of - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), of).cast("int")))
+    dealt = sent.select("shard", "fp", "home", F.explode(every).alias("chunk"))
+    return dealt.groupBy("shard", "chunk").applyInArrow(_pairs(radius), "node long, cell string")
 
 
 def _components(table: DataFrame, radius: int) -> tuple[DataFrame, int]:
@@ -268,6 +286,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     `docs` is scanned twice and must give the same rows in the same order each time, as a table read from files does.
     """
     groups, _ = _components(fingerprint_table(docs, id_col, text_col, width, seed), radius)
-    kept = groups.select(F.col("chosen.tag").alias("__kept")).distinct()
-    tagged = docs.withColumn("__tag", F.monotonically_increasing_id())
-    return tagged.join(kept, F.col("__tag") == F.col("__kept"), "left_semi").drop("__tag")
+    tag, kept_tag = spare_name(docs, "__tag"), spare_name(docs, "__kept")
+    kept = groups.select(F.col("chosen.tag").alias(kept_tag)).distinct()
+    tagged = docs.withColumn(tag, F.monotonically_increasing_id())
+    return tagged.join(kept, F.col(tag) == F.col(kept_tag), "left_semi").drop(tag)

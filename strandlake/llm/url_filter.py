@@ -5,10 +5,12 @@ fits decides. Where none fits, pattern rules decide: each is filed under the one
 among the URLs, a URL's distinct tokens fetch the rules filed under them, and only those run their regular expression;
 a URL that any of them matches is blocked, any other allowed. Everything is DataFrame operations.
 
-Rule tables are small; their size is checked before they are broadcast.
+Rule tables are broadcast up to BROADCAST_RULES rules and joined by shuffle beyond. A row's number is its place in the
+scan, so the URLs must come in the same order each time, as a table of files gives them.
 
-Defined cases: host and path are empty for a null URL or one without `://`; such a URL has no tokens unless its text
-has, and is allowed if nothing matches; repeated rows are judged alike; an empty table gives an empty result.
+Defined cases: of site rules of equal length that fit, block goes before allow; a URL of any length is judged whole; host and path are empty for a null URL or one without `://`; such a URL has no tokens unless its text
+has, and is allowed if nothing matches; repeated rows are judged alike; an empty table gives an empty
+result; input columns may have any name.
 """
 
 from __future__ import annotations
@@ -87,7 +89,7 @@ def tokens_of(url: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules=PATTERN_RULES) -> DataFrame:
-    """(rule_id, pattern, literal): a row for each literal token of each rule."""
+    """(rule_id, pattern, literal): a row for each literal token of each rule. A large table can be given as such instead."""
     for pattern, literals in rules:
         if not literals or any(not _TOKEN.fullmatch(x) for x in literals):
             raise ValueError(f"a rule needs literal tokens: {pattern}")
@@ -96,20 +98,37 @@ def rule_table(spark: SparkSession, rules=PATTERN_RULES) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id int, pattern string, literal string")
 
 
-def rarest_index(urls: DataFrame, url_col: str, rules: DataFrame) -> DataFrame:
-    """(token, rule_id, pattern): each rule under the literal token that the fewest URLs hold."""
+def _sent(rules: DataFrame, few: bool) -> DataFrame:
+    """A table of rules as a join takes it."""
+    return F.broadcast(rules) if few else rules.hint("shuffle_merge")
+
+
+def rarest_index(urls: DataFrame, url_col: str, rules: DataFrame, few: bool = True) -> DataFrame:
+    """(token, rule_id, pattern): each rule under the literal token that the fewest URLs hold; few: rules may be broadcast."""
     wanted = rules.select(F.col("literal").alias("token")).distinct()
-    held = urls.select(F.explode(tokens_of(F.col(url_col))).alias("token")).join(F.broadcast(wanted), "token", "left_semi")
-    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    tokens = urls.select(F.explode(tokens_of(F.col(url_col))).alias("token"))
+    if not few:
+        # One row for each token first, so that a token of all URLs is no row of the join for each.
+        tokens = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    held = tokens.join(_sent(wanted, few), "token", "left_semi")
+    if not few:
+        return _rarest(rules, held)
+    return _rarest(rules, held.groupBy("token").agg(F.count("*").alias("n")))
+
+
+def _rarest(rules: DataFrame, counts: DataFrame) -> DataFrame:
     ranked = rules.join(counts, rules["literal"] == counts["token"], "left")
     rarest = F.min_by("literal", F.struct(F.coalesce("n", F.lit(0)), "literal"))
     return ranked.groupBy("rule_id", "pattern").agg(rarest.alias("token"))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", site_rules=SITE_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
-    """One row per input row: page_id, host, path, rule, verdict. `pages` is scanned again for each step."""
-    if len(pattern_rules) > BROADCAST_RULES:
-        raise ValueError(f"more than {BROADCAST_RULES} pattern rules")
+    """One row per input row: page_id, host, path, rule, verdict. `pages` is scanned again for each step.
+
+    pattern_rules: pairs of pattern and literal tokens, or a table as `rule_table` makes it.
+    """
+    table = pattern_rules if isinstance(pattern_rules, DataFrame) else rule_table(pages.sparkSession, pattern_rules)
+    few = (table.select("rule_id").distinct().count() if isinstance(pattern_rules, DataFrame) else len(pattern_rules)) <= BROADCAST_RULES
     url = F.col("__url")
     rule, verdict = site_verdict(F.col("host"), F.col("path"), site_rules)
     rows = (
@@ -117,10 +136,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         .withColumns({"host": host_of(url), "path": path_of(url)})
         .withColumns({"rule": rule, "__site": verdict})
     )
-    index = rarest_index(pages, url_col, rule_table(pages.sparkSession, pattern_rules))
+    index = rarest_index(pages, url_col, table, few)
     # Only what no site rule decides needs the patterns.
     fetched = rows.filter(F.col("rule").isNull()).select("__tag", F.lower("__url").alias("__low"), F.explode(tokens_of(url)).alias("token"))
-    hits = fetched.join(F.broadcast(index), "token").filter(F.expr("regexp_like(__low, pattern)"))
+    hits = fetched.join(_sent(index, few), "token").filter(F.expr("regexp_like(__low, pattern)"))
     blocked = hits.select("__tag").distinct().withColumn("__hit", F.lit(True))
     judged = rows.join(blocked, "__tag", "left")
     method = F.when(F.col("__hit"), "block").otherwise("allow")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 
 from strandlake.llm import simhash_dedup as N
@@ -50,8 +51,10 @@ def test_every_pair_within_the_radius_meets_in_a_shard():
             assert home[j] in reached[i]
 
 
-def test_components_over_many_shards(spark, monkeypatch):
+@pytest.mark.parametrize("visitors", [1 << 20, 25])
+def test_components_over_many_shards(spark, monkeypatch, visitors):
     monkeypatch.setattr(N, "LEAST_ROWS", 60)
+    monkeypatch.setattr(N, "VISITORS", visitors)
     p = clustered(900)
     df = spark.createDataFrame([(int(x.astype(np.int64)),) for x in p], "fp long")
     labels = {r.node: r.label for r in min_label_components(N.fingerprint_links(df, len(p), 3)).collect()}

@@ -47,3 +47,11 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert index == {0: "casino"}
     with pytest.raises(ValueError):
         U.rule_table(spark, (("x", ()),))
+
+
+def test_more_rules_than_may_be_broadcast(spark, monkeypatch):
+    pages = spark.createDataFrame([*enumerate(URLS), (40, "http://a.net/" + "x/" * 40_000 + "casino/win/")], "page_id long, url string")
+    whole = sorted(map(tuple, U.judge_urls(pages).collect()), key=str)
+    monkeypatch.setattr(U, "BROADCAST_RULES", 3)
+    assert sorted(map(tuple, U.judge_urls(pages).collect()), key=str) == whole
+    assert sorted(map(tuple, U.judge_urls(pages, pattern_rules=U.rule_table(spark)).collect()), key=str) == whole
