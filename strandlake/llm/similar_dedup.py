@@ -37,12 +37,12 @@ RADIUS = 38
 #: Smallest shingle hashes of a document that name its cells.
 KEYS = 16
 #: Rows of a cell whose pairs are all looked at, at most, and the rows of a block of a larger one.
-CELL_ROWS = 2048
+CELL_ROWS = 256
 #: Cells of its own (not larger than CELL_ROWS) that spare a document the search in its large cells.
 COLD = 10
 #: Rows up to which a cell is compared row by row, without a tree.
 _LEAF = 128
-#: Pairs that one copy of a text serves in the verification.
+#: Pairs that one copy of a set of hashes serves in the verification.
 _SERVED = 64
 
 
@@ -190,34 +190,42 @@ def _cell_pairs(radius: int, least: float):
     return run
 
 
-def _verify(least: float, width: int):
-    """Kernel: the pairs whose texts are similar enough."""
+def _sets(width: int):
+    """Kernel over (tag, body): the shingle set of each text."""
 
     def run(batches):
-        held = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                tags, bodies = batch.column(0).slice(at, 512), batch.column(1).slice(at, 512)
+                sets = [shingle_set(bodies[i].as_py() or b"", width).view(np.int64) for i in range(len(bodies))]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([tags, lists], names=["tag", "hashes"])
+
+    return run
 
-        def hashes(tag, text):
-            if tag not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[tag] = shingle_set(text.as_py() or b"", width)
-            return held[tag]
 
+def _verify(least: float):
+    """Kernel over (a, b, left, right): the pairs whose sets are similar enough."""
+
+    def run(batches):
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            left, right = batch.column(2), batch.column(3)
-            good = [jaccard(hashes(a[i].as_py(), left[i]), hashes(b[i].as_py(), right[i])) >= least for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            ends = [batch.column(k).offsets.to_numpy() for k in (2, 3)]
+            values = [batch.column(k).values.to_numpy() for k in (2, 3)]
+            good = [
+                jaccard(values[0][ends[0][i] : ends[0][i + 1]], values[1][ends[1][i] : ends[1][i + 1]]) >= least for i in range(batch.num_rows)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _attach(pairs: DataFrame, side: str, other: str, texts: DataFrame, name: str, total: int) -> DataFrame:
-    """The pairs with the texts of one side: a copy of a text serves _SERVED pairs, so no key fills a task."""
+def _attach(pairs: DataFrame, side: str, other: str, sets: DataFrame, name: str, total: int) -> DataFrame:
+    """The pairs with the sets of one side: a copy of a set serves _SERVED pairs, so no key fills a task."""
     sizes = pairs.groupBy(side).agg(F.count("*").alias("n"))
     copies = F.ceil(F.col("n") / _SERVED).cast("int")
     dealt = lookup_groups(pairs, sizes, side, "n", total).withColumn("copy", F.pmod(F.xxhash64(other), copies)).drop("n")
-    sent = texts.withColumnRenamed("tag", side).join(sizes, side).select(side, F.col("body").alias(name), F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1)).alias("copy"))
+    sent = sets.withColumnRenamed("tag", side).join(sizes, side).select(side, F.col("hashes").alias(name), F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1)).alias("copy"))
     return dealt.join(sent, [side, "copy"]).drop("copy")
 
 
@@ -228,10 +236,11 @@ def _similar(pairs: DataFrame, tagged: DataFrame, least: float, width: int, name
     if not total:
         return pairs
     wanted = pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct()
-    texts = materialise(tagged.join(wanted, "tag", "left_semi"), f"{name}_texts")
-    rows = materialise(_attach(pairs, "b", "a", texts, "right", total), f"{name}_rows")
-    rows = _attach(rows, "a", "b", texts, "left", total).select("a", "b", "left", "right")
-    return materialise(rows.mapInArrow(_verify(least, width), "a long, b long"), name)
+    sets = tagged.join(wanted, "tag", "left_semi").mapInArrow(_sets(width), "tag long, hashes array<long>")
+    sets = materialise(sets, f"{name}_sets")
+    rows = materialise(_attach(pairs, "b", "a", sets, "right", total), f"{name}_rows")
+    rows = _attach(rows, "a", "b", sets, "left", total).select("a", "b", "left", "right")
+    return materialise(rows.mapInArrow(_verify(least), "a long, b long"), name)
 
 
 def _within(hi: Column, lo: Column, m: Column, other: str, radius: int, least: float) -> Column:
