@@ -13,7 +13,8 @@ Links come in two steps, so that a group of copies costs no square of its rows.
 with the cell's pivot. Then the pairs that the first links left in different components follow: in cells of up to
 CELL_ROWS all of them; in larger cells only members with fewer than COLD other cells that are not large (a pair of which
 one has COLD cells of its own meets in one of those, but for a chance of 0.2 ** COLD), and of those only rows outside
-the cell's largest component ask, in blocks. No group is cut short and no pair within the radius is passed over there.
+the cell's largest component ask, in blocks that hold the sets themselves: their exact similarities are a product of
+incidence matrices, and a block hands on no more links than it has rows. No group is cut short anywhere.
 
 Defined cases: texts without words (null, empty or blank) are copies of each other; a text of fewer words than a shingle
 is one shingle; a text of any length is read whole; a null id ranks above every other, ties of equal ids go to the row
@@ -29,15 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import lookup_groups, materialise, min_label_components, spare_name
-from strandlake.llm.simhash_dedup import _BITS, _LANES, shingle_hashes
+from strandlake.llm.simhash_dedup import _BITS, _LANES, Groups, shingle_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 38
 #: Smallest shingle hashes of a document that name its cells.
 KEYS = 16
-#: Rows of a cell whose pairs are all looked at, at most, and the rows of a block of a larger one.
+#: Rows of a cell whose pairs are all looked at by fingerprint, at most, and the rows of a block of a larger one.
 CELL_ROWS = 256
+BLOCK_ROWS = 2048
 #: Cells of its own (not larger than CELL_ROWS) that spare a document the search in its large cells.
 COLD = 10
 #: Rows up to which a cell is compared row by row, without a tree.
@@ -205,6 +207,64 @@ def _sets(width: int):
     return run
 
 
+def similarities(asking: list[np.ndarray], sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Exact Jaccard similarity of each asking set to each set, by products of incidence matrices, `width` columns at a time."""
+    whole = [*asking, *sets]
+    sizes = np.array([len(x) for x in whole], np.int64)
+    codes = np.unique(np.concatenate([np.zeros(0, np.int64), *whole]), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(whole)), sizes)
+    # Only hashes of both sides count.
+    held = np.zeros((2, codes.max(initial=-1) + 1), bool)
+    held[(row >= len(asking)).astype(int), codes] = True
+    both = held.all(0)
+    keep = both[codes]
+    row, codes = row[keep], (np.cumsum(both) - 1)[codes[keep]]
+    order = np.argsort(codes, kind="stable")
+    row, codes = row[order], codes[order]
+    shared = np.zeros((len(asking), len(sets)), np.float32)
+    for low in range(0, int(both.sum()), width):
+        a, b = np.searchsorted(codes, [low, low + width])
+        block = np.zeros((len(whole), width), np.float32)
+        block[row[a:b], codes[a:b] - low] = 1
+        shared += block[: len(asking)] @ block[len(asking) :].T
+    total = sizes[: len(asking), None] + sizes[None, len(asking) :] - shared.astype(np.float64)
+    # Two empty sets are equal.
+    return np.where(total > 0, shared / np.maximum(total, 1), 1.0)
+
+
+def _block_links(least: float):
+    """Kernel over rows in order of `cell`: the similar sets of a block, as links (a, b) of a forest over its rows."""
+
+    def links(rows):
+        tag, label, asks = (np.array([r[k] for r in rows]) for k in (0, 1, 2))
+        at, own = np.nonzero(asks)[0], np.nonzero(~asks)[0]
+        near = similarities([rows[i][3] for i in at], [rows[i][3] for i in own]) >= least
+        # An asking row stands among the block's own rows too, there or in another block.
+        x, y = np.nonzero(near & (label[at][:, None] != label[own]) & (tag[at][:, None] != tag[own]))
+        groups = Groups(len(rows))
+        groups.link(at[x], own[y])
+        root = groups.roots()
+        some = np.nonzero(root != np.arange(len(rows)))[0]
+        return pa.RecordBatch.from_arrays([pa.array(tag[some], pa.int64()), pa.array(tag[root[some]], pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        cell, rows = None, []
+        for batch in batches:
+            cells, ends = batch.column(0).to_numpy(), batch.column(4).offsets.to_numpy()
+            values = batch.column(4).values.to_numpy()
+            tag, label, asks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            for i in range(batch.num_rows):
+                if cells[i] != cell:
+                    if rows:
+                        yield links(rows)
+                    cell, rows = cells[i], []
+                rows.append((tag[i], label[i], asks[i], values[ends[i] : ends[i + 1]].copy()))
+        if rows:
+            yield links(rows)
+
+    return run
+
+
 def _verify(least: float):
     """Kernel over (a, b, left, right): the pairs whose sets are similar enough."""
 
@@ -271,36 +331,39 @@ def similar_labels(tagged: DataFrame, prints: DataFrame, radius: int = RADIUS, l
     fields = ("cell", "hi", "lo", "m", "tag", "label", "asks")
     small = marked.filter(F.col("n") <= cell_rows).join(mixed, "key", "left_semi").withColumn("asks", F.lit(True)).withColumn("cell", F.col("key"))
     small = small.repartition("cell").sortWithinPartitions("cell").select(*fields)
-    wanted = small.mapInArrow(_cell_pairs(radius, least), "a long, b long")
-    if marked.filter(F.col("n") > cell_rows).limit(1).count():
-        wanted = wanted.unionByName(_large_cells(marked.filter(F.col("n") > cell_rows), cell_rows, radius, least))
-    rest = _similar(wanted, tagged, least, width, "also_similar")
+    rest = _similar(small.mapInArrow(_cell_pairs(radius, least), "a long, b long"), tagged, least, width, "also_similar")
+    large = marked.filter(F.col("n") > cell_rows)
+    if large.limit(1).count():
+        rest = rest.unionByName(_large_cells(large, tagged, least, width))
     if not rest.limit(1).count():
         return labels
     return min_label_components(members(rest).unionByName(labels.select("node", F.col("label").cast("string").alias("cell"))))
 
 
-def _large_cells(marked: DataFrame, cell_rows: int, radius: int, least: float) -> DataFrame:
-    """Candidate pairs of cells beyond `cell_rows`: rows outside a cell's largest component against all, in blocks."""
+def _large_cells(marked: DataFrame, tagged: DataFrame, least: float, width: int) -> DataFrame:
+    """Links (a, b) of the cells beyond CELL_ROWS, as a written table: rows outside a cell's largest component against all, in blocks."""
     hot = marked.groupBy("tag").agg(F.count("*").alias("hot"), F.first("n_keys").alias("of")).filter(F.col("of") - F.col("hot") < COLD).select("tag")
-    rows = materialise(marked.join(hot, "tag", "left_semi"), "large_cells")
+    rows = materialise(marked.select("key", "tag", "label").join(hot, "tag", "left_semi"), "large_cells")
     by_label = rows.groupBy("key", "label").agg(F.count("*").alias("k"))
     main = by_label.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("of"), F.max("k").alias("most"))
-    main = materialise(main.filter("of > most"), "main_labels")
-    sized = lookup_groups(rows, main.select("key", "main", "of", (F.col("of") - F.col("most")).alias("asking")), "key", "of", rows.count(), "inner")
+    main = materialise(main.filter("of > most").select("key", "main", "of", (F.col("of") - F.col("most")).alias("asking")), "main_labels")
+    sized = lookup_groups(rows, main, "key", "of", rows.count(), "inner")
+    wanted = sized.select("tag").distinct()
+    sets = tagged.join(wanted, "tag", "left_semi").mapInArrow(_sets(width), "tag long, hashes array<long>")
+    held = materialise(sized.join(materialise(sets, "large_sets"), "tag"), "large_rows")
     ask = F.col("label") != F.col("main")
-    blocks, chunks = F.ceil(F.col("of") / cell_rows).cast("int"), F.ceil(F.col("asking") / cell_rows).cast("int")
-    own = sized.select(
-        "key", "hi", "lo", "m", "tag", "label", F.lit(False).alias("asks"),
+    blocks, chunks = F.ceil(F.col("of") / BLOCK_ROWS).cast("int"), F.ceil(F.col("asking") / BLOCK_ROWS).cast("int")
+    own = held.select(
+        "key", "tag", "label", F.lit(False).alias("asks"), "hashes",
         F.pmod(F.xxhash64("tag"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"),
     )
-    asking = sized.filter(ask).select(
-        "key", "hi", "lo", "m", "tag", "label", F.lit(True).alias("asks"),
+    asking = held.filter(ask).select(
+        "key", "tag", "label", F.lit(True).alias("asks"), "hashes",
         F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("tag"), chunks).cast("int").alias("chunk"),
     )
     dealt = own.unionByName(asking).withColumn("cell", F.xxhash64("key", "block", "chunk"))
-    dealt = dealt.repartition("cell").sortWithinPartitions("cell").select("cell", "hi", "lo", "m", "tag", "label", "asks")
-    return dealt.mapInArrow(_cell_pairs(radius, least), "a long, b long")
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell").select("cell", "tag", "label", "asks", "hashes")
+    return materialise(dealt.mapInArrow(_block_links(least), "a long, b long"), "large_links")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, least: float = SIMILARITY, width: int = WIDTH) -> DataFrame:

@@ -55,6 +55,7 @@ def test_the_stage_drops_what_brute_force_drops(spark, tmp_path):
 
 def test_large_cells_give_the_same(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "CELL_ROWS", 8)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 11)
     monkeypatch.setattr(S, "_SERVED", 3)
     rng = random.Random(3)
     base = [f"w{k}" for k in range(150)]
@@ -111,6 +112,28 @@ def test_the_tree_finds_every_pair_within_the_radius():
     assert got == want
 
 
+def test_similarities_equal_the_pairwise_ones():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(-50, 50, n)) for n in (0, 0, 1, 20, 60, 60, 200)]
+    got = S.similarities(sets[:4], sets, width=7)
+    assert np.allclose(got, [[S.jaccard(a, b) for b in sets] for a in sets[:4]])
+
+
+def test_a_loose_family_in_large_cells(spark, tmp_path, monkeypatch):
+    """Copies of one text, each about 0.6 to 0.9 like the others: no pivot reaches all, most rows ask."""
+    monkeypatch.setattr(S, "CELL_ROWS", 10)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 40)
+    rng, base, rows = random.Random(12), [f"w{k}" for k in range(120)], []
+    for i in range(110):
+        words = list(base)
+        for _ in range(rng.randrange(7)):
+            words[rng.randrange(120)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert sorted(r.doc_id for r in S.drop_similar(docs).collect()) == brute_kept(rows)
+
+
 def test_a_long_chain_is_one_component(spark):
     from strandlake.llm.common import min_label_components
 
