@@ -66,11 +66,19 @@ def array_logsumexp(xs) -> Column:
     return top + F.log(F.aggregate(xs, F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
 
 
+def let(value, make) -> Column:
+    """make(value) with the value computed once: inside array functions Spark would repeat it for every element."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def array_softmax(xs, temperature: float = 1.0) -> Column:
-    xs = col(xs)
-    top = F.array_max(xs)
-    total = F.aggregate(xs, F.lit(0.0), lambda acc, v: acc + F.exp((v - top) / temperature))
-    return F.transform(xs, lambda v: F.exp((v - top) / temperature) / total)
+    def scaled(e):
+        return let(array_sum(e), lambda total: F.transform(e, lambda v: v / total))
+
+    def shifted(x):
+        return let(F.array_max(x), lambda top: let(F.transform(x, lambda v: F.exp((v - top) / temperature)), scaled))
+
+    return let(col(xs), shifted)
 
 
 def array_argmax(xs) -> Column:

@@ -11,9 +11,10 @@ from strandlake.functions.soft import col
 
 def top_k_mask(rows: DataFrame, value: str, k: int, pos: str, by: list[str] | None = None, name: str = "mask") -> DataFrame:
     """A column of ones for the k greatest values of each group, zeros else; ties at the boundary favour later places."""
-    by = by or []
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(value).desc(), F.col(pos).desc()))
-    return rows.withColumn(name, (place <= k).cast("double"))
+    order = [F.col(value).desc(), F.col(pos).desc()]
+    if not by:
+        return global_running(rows, order, position="__k").withColumn(name, (F.col("__k") <= k).cast("double")).drop("__k")
+    return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) <= k).cast("double"))
 
 
 def top_k(rows: DataFrame, value: str, k: int, pos: str, by: list[str] | None = None) -> DataFrame:
@@ -29,7 +30,9 @@ def top_k(rows: DataFrame, value: str, k: int, pos: str, by: list[str] | None =
 def hard_rank(rows: DataFrame, value: str, pos: str, by: list[str] | None = None, descending: bool = True) -> DataFrame:
     """1-based ranks in column rank; ties are broken by place."""
     key = F.col(value).desc() if descending else F.col(value).asc()
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(key, F.col(pos))))
+    if not by:
+        return global_running(rows, [key, F.col(pos)], position="rank")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(key, F.col(pos))))
 
 
 def soft_argmax(rows: DataFrame, value: str, by: list[str], softness: float = 0.1, name: str = "p") -> DataFrame:
@@ -120,12 +123,12 @@ def simplex_euclidean(xs, softness: float = 0.1) -> Column:
 def global_running(rows: DataFrame, order: list, sums: list[str] | None = None, position: str = "k") -> DataFrame:
     """A 1-based position in a total order over the whole table, and running sums <name>_sum, without a single sorting task.
 
-    Rows are dealt by ranges of the first key, each range is numbered by itself, and the ranges' totals are added up; those
-    are one row a range. Rows of equal first keys share a range.
+    Rows are dealt by ranges of the whole order, each range is numbered by itself, and the ranges' totals are added up;
+    those are one row a range.
     """
     from strandlake.session import cut_lineage
 
-    dealt = cut_lineage(rows.repartitionByRange(order[0]).withColumn("__r", F.spark_partition_id()))
+    dealt = cut_lineage(rows.repartitionByRange(*order).withColumn("__r", F.spark_partition_id()))
     made = {position: F.count(F.lit(1)), **{f"{c}_sum": F.sum(c) for c in sums or []}}
     totals = dealt.groupBy("__r").agg(*[v.alias(f"__t_{n}") for n, v in made.items()])
     before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.numeric import hash_order
+from strandlake.functions.order import global_running
 
 
 def _numbered(rows: DataFrame, seed: int, key: str, by: list[str] | None = None) -> DataFrame:
@@ -68,10 +69,8 @@ def order_split(rows: DataFrame, position: str, train: float = 0.8, valid: float
 def group_split(rows: DataFrame, group: str, train: float = 0.8, valid: float = 0.1) -> DataFrame:
     """Whole groups, largest first (ties by name), to train while the rows before are below the cut, then valid, then test."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("g"))
-    w = Window.orderBy(F.col("g").desc(), F.col(group))
-    before = F.coalesce(F.sum("g").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("g").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    placed = sizes.withColumn("before", before).withColumn("total", total)
+    total = F.broadcast(sizes.agg(F.sum("g").alias("total")))
+    placed = global_running(sizes, [F.col("g").desc(), F.col(group)], ["g"]).withColumn("before", F.col("g_sum") - F.col("g")).join(total, F.lit(True))
     part = F.when(F.col("before") < F.lit(train) * F.col("total"), "train").when(F.col("before") < F.lit(train + valid) * F.col("total"), "valid").otherwise("test")
     return rows.join(placed.select(group, part.alias("split")), group)
 
@@ -141,8 +140,7 @@ def sequential_batches(rows: DataFrame, position: str, size: int) -> DataFrame:
 
 def label_codes(rows: DataFrame, label: str, code: str = "code") -> DataFrame:
     """0-based codes of labels in sorted order, joined back."""
-    distinct = rows.select(label).distinct()
-    coded = distinct.withColumn(code, (F.row_number().over(Window.orderBy(label)) - 1).cast("long"))
+    coded = global_running(rows.select(label).distinct(), [F.col(label)], position=code).withColumn(code, (F.col(code) - 1).cast("long"))
     return rows.join(F.broadcast(coded) if _few(coded) else coded, label)
 
 
