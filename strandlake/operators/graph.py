@@ -137,3 +137,55 @@ def sinkhorn(cost: DataFrame, epsilon: float = 0.1, rounds: int = 20) -> DataFra
         if r % 4 == 3:
             f, g = cut_lineage(f), cut_lineage(g)
     return cost.join(f, "i").join(g, "j").select("i", "j", F.exp(F.col("k") + F.col("f") + F.col("g")).alias("p"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that each node of an undirected edge table (i, j) reaches.
+
+    Rounds contract labels: each hooks to the smallest label next to it, chains of hooks are followed two steps, and the
+    edges between different labels go on. The rounds grow with the logarithm of the longest path.
+    """
+    from strandlake.session import cut_lineage
+
+    pairs = edges.select(F.col("i").alias("a"), F.col("j").alias("b"))
+    left = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = left.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+    while True:
+        hooks = cut_lineage(left.groupBy(F.col("a").alias("label")).agg(F.min("b").alias("up")).filter("up < label"))
+        if not hooks.limit(1).count():
+            return labels
+        for _ in range(2):
+            hooks = hooks.join(hooks.select(F.col("label").alias("up"), F.col("up").alias("top")), "up", "left").select("label", F.coalesce("top", "up").alias("up"))
+        hooks = cut_lineage(hooks)
+        to = lambda c: hooks.select(F.col("label").alias(c), F.col("up").alias(f"{c}_up"))  # noqa: B023, E731
+        labels = cut_lineage(labels.join(to("label"), "label", "left").select("node", F.coalesce("label_up", "label").alias("label")))
+        moved = left.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b"))
+        left = cut_lineage(moved.filter("a <> b").distinct())
+
+
+def distance_sums(points: DataFrame, by: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, by, total, n): the sum of each point's distances to the other points of each group, and their number.
+
+    Blocks of points meet in pairs as elsewhere here, but a block pair hands on one row a point and group, not its pairs.
+    """
+    rows = points.select(F.col("id").cast("long").alias("id"), "vec", F.col(by).cast("long").alias("g"))
+    parts = max(1, -(-rows.count() // block_rows))
+    block = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    asked = rows.select("id", "vec", block.alias("bi"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("bj"))
+    held = rows.select(F.col("id").alias("id2"), F.col("vec").alias("vec2"), F.col("g").alias("g2"), block.alias("bj2"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("bi2"))
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        i, a = _matrix(left)
+        j, b = _matrix(right)
+        groups, at = np.unique(right.column(2).to_numpy(), return_inverse=True) if len(j) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if not len(i) or not len(j):
+            return pa.table({"id": pa.array([], pa.int64()), "g": pa.array([], pa.int64()), "total": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+        d = np.round(_distances(a, b, "euclidean"), 6)
+        other = i[:, None] != j[None, :]
+        member = np.eye(len(groups))[at]
+        total, n = (d * other) @ member, other @ member
+        k = len(groups)
+        return pa.table({"id": np.repeat(i, k), "g": np.tile(groups, len(i)), "total": total.ravel(), "n": n.astype(np.int64).ravel()})
+
+    met = asked.groupBy("bi", "bj").cogroup(held.groupBy("bi2", "bj2")).applyInArrow(run, "id long, g long, total double, n long")
+    return met.groupBy("id", F.col("g").alias(by)).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -80,22 +80,27 @@ def candidates(reads: DataFrame, reference: DataFrame, least_depth: int = 8, lea
     return g.filter((F.col("depth") >= least_depth) & (F.col("fraction") >= least_fraction))
 
 
-def triangular_smooth(signal: DataFrame, width: int = 5) -> DataFrame:
-    """Convolution with a triangular kernel of sum 1, zeros beyond the ends. The signal is one ordered track."""
+def _track(by: list[str] | None, *order: str):
+    """A window over one track: the rows of one combination of `by` (chromosome, spectrum), in order."""
+    return Window.partitionBy(*(by or [])).orderBy(*order)
+
+
+def triangular_smooth(signal: DataFrame, width: int = 5, by: list[str] | None = None) -> DataFrame:
+    """Convolution with a triangular kernel of sum 1, zeros beyond the ends, along each track."""
     h = width // 2
-    w = Window.orderBy("pos")
+    w = _track(by, "pos")
     weights = [h + 1 - abs(k) for k in range(-h, h + 1)]
     total = float(sum(weights))
     parts = [F.coalesce(F.lag("value", -k).over(w), F.lit(0.0)) * (c / total) for k, c in zip(range(-h, h + 1), weights)]
     return signal.withColumn("smooth", sum(parts[1:], parts[0]))
 
 
-def segments(signal: DataFrame, jump: float) -> DataFrame:
-    """(segment, start, end, mean, n): runs between jumps larger than a threshold, as gaps and islands."""
-    w = Window.orderBy("pos")
+def segments(signal: DataFrame, jump: float, by: list[str] | None = None) -> DataFrame:
+    """(by, segment, start, end, mean, n): runs between jumps larger than a threshold, as gaps and islands of each track."""
+    w = _track(by, "pos")
     flag = (F.abs(F.col("value") - F.lag("value").over(w)) > jump).cast("long")
     s = signal.withColumn("f", F.coalesce(flag, F.lit(0))).withColumn("segment", F.sum("f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("segment").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.avg("value").alias("mean"), F.count("*").alias("n"))
+    return s.groupBy(*(by or []), "segment").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.avg("value").alias("mean"), F.count("*").alias("n"))
 
 
 def copy_number_posterior(segments_: DataFrame, states=(0, 1, 2, 3, 4), base: float = 2.0, scale: float = 0.5) -> DataFrame:
@@ -106,9 +111,9 @@ def copy_number_posterior(segments_: DataFrame, states=(0, 1, 2, 3, 4), base: fl
     return segments_.withColumn("copies", sum((v * k for v, k in zip(e[1:], states[1:])), e[0] * states[0]) / total)
 
 
-def call_peaks(signal: DataFrame, threshold: float, temperature: float = 1.0, width: int = 5, edge: float = 0.1) -> DataFrame:
-    """(pos, p, summit, start, end): soft threshold, windowed softmax centre, and signs of the first difference."""
-    w = Window.orderBy("pos")
+def call_peaks(signal: DataFrame, threshold: float, temperature: float = 1.0, width: int = 5, edge: float = 0.1, by: list[str] | None = None) -> DataFrame:
+    """(pos, p, summit, start, end): soft threshold, windowed softmax centre, and signs of the first difference, along each track."""
+    w = _track(by, "pos")
     h = width // 2
     p = signal.withColumn("p", S.logistic((F.col("value") - threshold) / temperature))
     frame = w.rowsBetween(-h, h)
@@ -194,16 +199,18 @@ def gmm_quality(rows: DataFrame, components: list[tuple[float, list[float], list
     return rows.withColumns({"log_density": top + F.log(total), **{f"r{i}": F.exp(x - top) / total for i, x in enumerate(logs)}})
 
 
-def centroid_spectrum(signal: DataFrame, signal_noise: float = 3.0, quantile: float = 0.5, temperature: float = 0.1, kernel: int = 5) -> DataFrame:
-    """(pos, smooth, peak): smoothed intensities, weighted by soft threshold over the noise and soft local maximum."""
-    noise = signal.agg(F.percentile("value", F.lit(quantile)).alias("noise"))
-    sm = triangular_smooth(signal, kernel).join(F.broadcast(noise), F.lit(True))
-    w = Window.orderBy("pos")
+def centroid_spectrum(signal: DataFrame, signal_noise: float = 3.0, quantile: float = 0.5, temperature: float = 0.1, kernel: int = 5, by: list[str] | None = None) -> DataFrame:
+    """(by, pos, smooth, peak): smoothed intensities of each spectrum, weighted by soft threshold over its noise and soft local maximum."""
+    by = by or []
+    noise = signal.groupBy(*by).agg(F.percentile("value", F.lit(quantile)).alias("noise"))
+    smooth = triangular_smooth(signal, kernel, by)
+    sm = smooth.join(noise, by) if by else smooth.join(F.broadcast(noise), F.lit(True))
+    w = _track(by, "pos")
     s = F.col("smooth")
     left, right = F.coalesce(F.lag("smooth").over(w), s), F.coalesce(F.lead("smooth").over(w), s)
     above = S.logistic((s - signal_noise * F.col("noise")) / temperature)
     local = S.logistic((s - left) / temperature) * S.logistic((s - right) / temperature)
-    return sm.select("pos", "smooth", (above * local).alias("peak"))
+    return sm.select(*by, "pos", "smooth", (above * local).alias("peak"))
 
 
 def bin_spectrum(peaks: DataFrame, bins: int, low: float, high: float, normalise: bool = True) -> DataFrame:
@@ -245,15 +252,20 @@ def isotope_charge(peaks: DataFrame, grid: DataFrame, charges=(1, 2, 3), isotope
     return e.groupBy("spectrum").agg((F.sum(F.col("e") * F.col("z")) / F.sum("e")).alias("expected_charge"))
 
 
-def densest_region(peaks: DataFrame, n: int) -> DataFrame:
-    """The shortest span that holds n consecutive peaks (start, end), the first on ties."""
-    w = Window.orderBy("start", "end")
-    s = peaks.withColumn("stop", F.lead("end", n - 1).over(w)).filter(F.col("stop").isNotNull())
-    return s.select("start", "stop", (F.col("stop") - F.col("start")).alias("span")).orderBy("span", "start").limit(1)
+def densest_region(peaks: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
+    """The shortest span of each track that holds n consecutive peaks (start, end), the first on ties."""
+    by = by or []
+    s = peaks.withColumn("stop", F.lead("end", n - 1).over(_track(by, "start", "end"))).filter(F.col("stop").isNotNull())
+    s = s.withColumn("span", F.col("stop") - F.col("start"))
+    best = s.groupBy(*by).agg(F.min(F.struct("span", "start", "stop")).alias("b")).filter("b is not null")
+    return best.select(*by, "b.start", "b.stop", "b.span")
 
 
 def coverage_from_peaks(peaks: DataFrame, low: int, high: int) -> DataFrame:
-    """(pos, value) of a region: summed signal of the peaks over each base, by running sums of starts and ends."""
+    """(pos, value) of a region: summed signal of the peaks over each base, by running sums of starts and ends.
+
+    One row a base: the region is a window of one track, which the caller bounds.
+    """
     inside = peaks.filter((F.col("end") > low) & (F.col("start") < high))
     edge = inside.select(F.greatest("start", F.lit(low)).alias("pos"), F.col("signal").alias("d")).unionByName(
         inside.filter(F.col("end") < high).select(F.col("end").alias("pos"), (-F.col("signal")).alias("d"))

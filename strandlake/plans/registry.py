@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import queries_cells, queries_embedding, queries_functions, queries_io, queries_more, queries_relational, queries_signals
+from strandlake.plans import queries_cells, queries_embedding, queries_eval, queries_functions, queries_io, queries_learned, queries_more, queries_relational, queries_signals
 
-MODULES = (queries_functions, queries_cells, queries_relational, queries_signals, queries_io, queries_embedding, queries_more)
+MODULES = (queries_functions, queries_cells, queries_relational, queries_signals, queries_io, queries_embedding, queries_more, queries_eval, queries_learned)
 
 
 def queries() -> dict:
