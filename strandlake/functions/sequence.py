@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.functions.numeric import array_softmax
 from strandlake.functions.soft import col
@@ -90,20 +93,63 @@ def kmer_dimension(k: int, canonical: bool = False) -> int:
     return (4**k + (4 ** (k // 2) if k % 2 == 0 else 0)) // 2
 
 
+def kmer_counts(texts: list[str], k: int, canonical: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, code, count) of the k-mers of A, C, G, T in a batch of texts; a code is base 4, its first base the least digit."""
+    digit = np.full(256, -1, np.int64)
+    for i, c in enumerate(BASES):
+        digit[ord(c)] = digit[ord(c.lower())] = i
+    # Every text ends with a letter of no base, so no window runs on into the next.
+    raw = [t.encode("latin-1", "replace") + b"|" for t in texts]
+    flat = digit[np.frombuffer(b"".join(raw), np.uint8)]
+    n = len(flat) - k + 1
+    if n <= 0:
+        return (np.zeros(0, np.int64),) * 3
+    owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])[:n]
+    code, other, live = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(k):
+        d = flat[i : i + n]
+        live &= d >= 0
+        code += d << (2 * i)
+        other += (3 - d) << (2 * (k - 1 - i))
+    if canonical:
+        code = np.minimum(code, other)
+    key, count = np.unique((owner[live] << (2 * k)) + code[live], return_counts=True)
+    return key >> (2 * k), key & ((1 << (2 * k)) - 1), count
+
+
 def kmer_features(sequences: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "sequence", canonical: bool = False) -> DataFrame:
     """(id, kmer, n, frequency): k-mers of A, C, G, T in each sequence; canonical ones stand for their reverse complement.
 
-    Windows with another letter are left out; sequences without a window have no row (all their features are zero).
+    Windows with another letter are left out; sequences without a window have no row (all their features are zero). A
+    sequence is one row, so its k-mers are counted where it is: nothing is shuffled.
     """
-    s = F.upper(F.col(seq_col))
-    spots = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - k + 1)).otherwise(F.array().cast("array<int>"))
-    found = sequences.select(id_col, F.explode(F.transform(spots, lambda i: F.substring(s, i, F.lit(k)))).alias("kmer")).filter(F.col("kmer").rlike("^[ACGT]+$"))
-    if canonical:
-        other = reverse_complement("kmer")
-        found = found.withColumn("kmer", F.when(kmer_index("kmer") <= kmer_index(other), F.col("kmer")).otherwise(other))
-    counts = found.groupBy(id_col, "kmer").agg(F.count("*").alias("n"))
-    totals = counts.groupBy(id_col).agg(F.sum("n").alias("windows"))
-    return counts.join(totals, id_col).select(id_col, "kmer", "n", (F.col("n") / F.col("windows")).alias("frequency"))
+    if not 1 <= k <= 20:
+        raise ValueError("k must be from 1 to 20")
+    letters = np.array(list(BASES))
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            low = 0
+            while low < batch.num_rows:
+                # About 4 MB of text at a time.
+                high, size = low, 0
+                part = []
+                while high < batch.num_rows and (size < 4 << 20 or high == low):
+                    part.append(texts[high].as_py() or "")
+                    size += len(part[-1])
+                    high += 1
+                owner, code, count = kmer_counts(part, k, canonical)
+                total = np.bincount(owner, count, len(part))
+                for i in range(0, len(code), 1 << 16):
+                    c, o = code[i : i + (1 << 16)], owner[i : i + (1 << 16)]
+                    names = letters[(c[:, None] >> (2 * np.arange(k))) & 3].view(f"<U{k}")[:, 0]
+                    n = count[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(low + o)), pa.array(names.tolist(), pa.string()), pa.array(n.astype(np.int64)), pa.array(n / total[o])], names=[id_col, "kmer", "n", "frequency"])
+                low = high
+
+    schema = T.StructType([sequences.schema[id_col], T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType()), T.StructField("frequency", T.DoubleType())])
+    return sequences.select(id_col, seq_col).mapInArrow(run, schema)
 
 
 def scoring_table(spark: SparkSession, match: float = 2.0, mismatch: float = -1.0, alphabet: str = BASES) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import soft as S
 from strandlake.functions.numeric import hash_uniform, normal_cdf
-from strandlake.functions.order import top_k_mask
+from strandlake.functions.order import global_running, top_k_mask
 from strandlake.operators import graph as G
 from strandlake.session import cut_lineage
 
@@ -128,7 +128,7 @@ def doublet_scores(cells: DataFrame, simulated: DataFrame, k: int, rate: float =
 
 def simulate_doublets(counts: DataFrame, cells: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """(cell_id, gene_id, value) of n summed random pairs of cells, numbered -1, -2, ...; pairs come from a hash order."""
-    ids = cells.select("cell_id").withColumn("r", F.row_number().over(Window.orderBy("cell_id")) - 1)
+    ids = global_running(cells.select("cell_id"), [F.col("cell_id")], position="r").withColumn("r", F.col("r") - 1)
     total = cells.count()
     draw = lambda s: F.floor(hash_uniform(s, "k") * total)
     pairs = cells.sparkSession.range(1, n + 1).withColumnRenamed("id", "k")

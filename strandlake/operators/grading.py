@@ -110,12 +110,23 @@ def auroc(rows: DataFrame, score: str, label: str, by: list[str] | None = None)
 
 
 def soft_auroc(rows: DataFrame, key: str, score: str, label: str, temperature: float = 0.1) -> DataFrame:
-    """Mean logistic of score differences over positive-negative pairs, both sides first folded to distinct scores."""
-    side = lambda v: rows.filter(F.col(label) == v).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
-    pos, neg = side(1), side(0).select(F.col("s").alias("t"), F.col("n").alias("m"))
-    pairs = pos.join(neg, F.lit(True))
-    w = F.col("n") * F.col("m")
-    return pairs.agg((F.sum(w * logistic((F.col("s") - F.col("t")) / temperature)) / F.sum(w)).alias("auroc"))
+    """Mean logistic of score differences over positive-negative pairs, both sides first folded to distinct scores.
+
+    The logistic is 0 or 1 to machine precision beyond 40 temperatures. Scores go into bins of that width: only equal and
+    neighbouring bins meet pair by pair, pairs of bins further apart count as right or wrong by running totals of the bins.
+    """
+    width = 40.0 * temperature
+    folded = rows.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("double")).alias("p"), F.sum((F.col(label) == 0).cast("double")).alias("q"))
+    folded = folded.withColumn("bin", F.floor(F.col("s") / width))
+    pos = folded.filter("p > 0").select("s", "p", "bin")
+    neg = folded.filter("q > 0").select(F.col("s").alias("t"), "q", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    near = pos.join(neg, "bin").agg(F.sum(F.col("p") * F.col("q") * logistic((F.col("s") - F.col("t")) / temperature)).alias("near"))
+    bins = global_running(folded.groupBy("bin").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), [F.col("bin")], ["q"])
+    below = bins.select(F.col("bin").alias("b"), F.col("q_sum").alias("upto"), F.col("q").alias("own"))
+    # Negatives of all bins before the neighbouring one.
+    before = bins.join(below.select((F.col("b") + 1).alias("bin"), F.col("own").alias("beside")), "bin", "left")
+    far = before.agg(F.sum(F.col("p") * (F.col("q_sum") - F.col("q") - F.coalesce("beside", F.lit(0.0)))).alias("far"), (F.sum("p") * F.sum("q")).alias("all"))
+    return near.join(far, F.lit(True)).select(((F.coalesce("near", F.lit(0.0)) + F.col("far")) / F.col("all")).alias("auroc"))
 
 
 def precision_recall_area(rows: DataFrame, key: str, score: str, label: str) -> DataFrame:

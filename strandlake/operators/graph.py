@@ -126,15 +126,16 @@ def sinkhorn(cost: DataFrame, epsilon: float = 0.1, rounds: int = 20) -> DataFra
     g = cost.select("j").distinct().withColumn("g", F.lit(0.0))
 
     def half(potential, on, by, log_mass, name):
+        # The greatest term first, then the sum of the shifted ones: no row of the matrix is ever gathered in one buffer.
         t = cost.join(potential, on).withColumn("s", F.col("k") + F.col("g" if name == "f" else "f"))
-        top = t.groupBy(by).agg(F.max("s").alias("top"), F.collect_list("s").alias("all"))
-        total = F.aggregate("all", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top")))
-        return top.select(by, (F.lit(log_mass) - F.col("top") - F.log(total)).alias(name))
+        top = t.groupBy(by).agg(F.max("s").alias("top"))
+        total = t.join(top, by).groupBy(by).agg(F.first("top").alias("top"), F.sum(F.exp(F.col("s") - F.col("top"))).alias("total"))
+        return total.select(by, (F.lit(log_mass) - F.col("top") - F.log("total")).alias(name))
 
     for r in range(rounds):
         f = half(g, "j", "i", la, "f")
         g = half(f, "i", "j", lb, "g")
-        if r % 4 == 3:
+        if r % 2 == 1:
             f, g = cut_lineage(f), cut_lineage(g)
     return cost.join(f, "i").join(g, "j").select("i", "j", F.exp(F.col("k") + F.col("f") + F.col("g")).alias("p"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,31 +81,34 @@ def pair_energy(particles: DataFrame, kind: str = "lennard_jones", sigma: float
     return particles.select(F.col("id").alias("i")).join(got, "i", "left").na.fill(0.0)
 
 
-def hbond_map(residues: DataFrame, cutoff: float = -0.5, margin: float = 1.0, reach: int | None = None) -> DataFrame:
-    """(donor, acceptor, h): continuous Kabsch-Sander hydrogen bonds between backbone residues.
+def hbond_map(residues: DataFrame, cutoff: float = -0.5, margin: float = 1.0, reach: float = 10.0, by: list[str] | None = None) -> DataFrame:
+    """(by, donor, acceptor, h): continuous Kabsch-Sander hydrogen bonds between backbone residues whose N and O are within reach.
 
-    residues (pos, n, ca, c, o), each an array of three coordinates. The hydrogen lies 1 A from N, opposite to the mean
-    direction of CA and the previous C.
+    residues (by, pos, n, ca, c, o), each an array of three coordinates; `by` names a chain or model, whose residues bond
+    with each other only. The hydrogen lies 1 A from N, opposite to the mean direction of CA and the previous C. Beyond
+    10 A the energy is far above any cutoff in use, so residues meet in neighbouring cells of that width.
     """
+    by = by or []
     sub = lambda p, q: F.zip_with(p, q, lambda u, v: u - v)
     size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
 
     def unit(v):
         return F.transform(v, lambda x: x / (size(v) + 1e-8))
 
-    w = Window.orderBy("pos")
-    d = residues.withColumn("c0", F.lag("c").over(w)).filter(F.col("c0").isNotNull())
+    d = residues.withColumn("c0", F.lag("c").over(Window.partitionBy(*by).orderBy("pos"))).filter(F.col("c0").isNotNull())
     d = d.withColumn("u", unit(sub("ca", "n"))).withColumn("v", unit(sub("c0", "n")))
     d = d.withColumn("dir", F.zip_with("u", "v", lambda a, b: -(a + b)))
     d = d.withColumn("h", F.zip_with("n", unit(F.col("dir")), lambda a, b: a + b))
-    donors = d.select(F.col("pos").alias("donor"), F.col("n").alias("dn"), F.col("h").alias("dh"))
-    acceptors = residues.select(F.col("pos").alias("acceptor"), F.col("c").alias("ac"), F.col("o").alias("ao"))
-    far = F.abs(F.col("donor") - F.col("acceptor")) >= 2
-    pairs = donors.join(acceptors, far if reach is None else far & (F.abs(F.col("donor") - F.col("acceptor")) <= reach))
+    cell = lambda v, i: F.floor(F.col(v)[i] / reach)
+    donors = d.select(*by, F.col("pos").alias("donor"), F.col("n").alias("dn"), F.col("h").alias("dh"), *[cell("n", i).alias(f"k{i}") for i in range(3)])
+    around = F.array(*[F.struct(*[F.lit(v).alias(f"d{i}") for i, v in enumerate(s)]) for s in itertools.product((-1, 0, 1), repeat=3)])
+    acceptors = residues.select(*by, F.col("pos").alias("acceptor"), F.col("c").alias("ac"), F.col("o").alias("ao"), F.explode(around).alias("s"))
+    acceptors = acceptors.select(*by, "acceptor", "ac", "ao", *[(cell("ao", i) + F.col(f"s.d{i}")).alias(f"k{i}") for i in range(3)])
+    pairs = donors.join(acceptors, [*by, "k0", "k1", "k2"]).filter((F.abs(F.col("donor") - F.col("acceptor")) >= 2) & (size(sub("dn", "ao")) + 1e-8 < reach))
     inv = lambda p, q: 1 / (size(sub(p, q)) + 1e-8)
     e = 27.9 * (inv("ao", "dn") + inv("ac", "dh") - inv("ao", "dh") - inv("ac", "dn"))
     x = F.least(F.greatest((cutoff - e - margin) / margin, F.lit(-1.0)), F.lit(1.0))
-    return pairs.select("donor", "acceptor", ((1 + F.sin(x * math.pi / 2)) / 2).alias("h"))
+    return pairs.select(*by, "donor", "acceptor", ((1 + F.sin(x * math.pi / 2)) / 2).alias("h"))
 
 
 def secondary_structure(residues: DataFrame, bonds: DataFrame, temperature: float = 0.1) -> DataFrame:
