@@ -175,17 +175,20 @@ class Benchmark:
             hit[p + 1] = tuple(words[p : p + self.width]) in self.known
         if not hit.any():
             return best
-        held = np.cumsum(hit)
-        shingles = shingles_of(words, self.width)
-        for m, (members, index) in self.sizes.items():
-            size = min(m, n)
-            starts = np.nonzero(held[size:] > held[: n - size + 1])[0]
-            for group in np.split(starts, np.nonzero(np.diff(starts) > size)[0] + 1):
-                low, high = int(group[0]), int(group[-1]) + size
-                marks = window_prints(vote_sums(shingle_hashes(shingles[low:high])), group - low, size)
+        held, at = np.cumsum(hit), np.nonzero(hit)[0] - 1
+        shingles, most = shingles_of(words, self.width), min(max(self.sizes), n)
+        # Stretches of the document whose windows may hold a hit; their votes are summed once for all sizes.
+        for near in np.split(at, np.nonzero(np.diff(at) > 2 * most)[0] + 1):
+            low, high = max(int(near[0]) - most + 1, 0), min(int(near[-1]) + most, n)
+            sums = vote_sums(shingle_hashes(shingles[low:high]))
+            for m, (members, index) in self.sizes.items():
+                size = min(m, n)
+                starts = np.arange(low, high - size + 1)
+                starts = starts[held[starts + size] > held[starts]]
+                marks = window_prints(sums, starts - low, size)
                 held_by: dict[int, Counter] = {}
                 for w, j in zip(*(x.tolist() for x in index.within(marks))):
-                    s, i = int(group[w]), members[j]
+                    s, i = int(starts[w]), members[j]
                     if w not in held_by:
                         held_by[w] = Counter(shingles[s : s + size])
                     value = similarity(held_by[w], self.items[i][1])
