@@ -1,8 +1,9 @@
 """Near copies by similarity of five-word shingles: wide SimHash fingerprints, vantage-point trees below shared shingles, verification.
 
-A document's set of shingles gives a SimHash of 128 bits. At similarity 0.8 about 19 bits differ, with a deviation of 4
-(24 and 4 in the worst case, sets of four and five), so fingerprints within RADIUS bits are candidates; a candidate pair
-is linked if the Jaccard similarity of the two sets (of 64-bit shingle hashes) is high enough. A ball of that radius
+A document's set of shingles gives a SimHash of 512 bits. Of its first 128 bits about 19 differ at similarity 0.8, with a
+deviation of 4 (24 and 4 in the worst case, sets of four and five), so fingerprints within RADIUS of these are candidates;
+of all bits about 78 differ, with a deviation of 8, so candidates of WIDE_SET shingles or more must be within WIDE_RADIUS,
+too. A pair that is left is linked if the Jaccard similarity of the two sets (of 64-bit shingle hashes) is high enough. A ball of that radius
 overlaps nearly every split of one tree over all documents, so the space is first cut by content: a document belongs to
 the cell of each of its KEYS smallest shingle hashes. Of the KEYS smallest hashes of two documents' union each is shared
 with a chance of at least the similarity, so a similar pair meets in no cell with a chance of at most 0.2 ** 16 (none
@@ -35,6 +36,8 @@ from strandlake.llm.simhash_dedup import _BITS, _LANES, Groups, shingle_hashes
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 38
+WIDE_RADIUS = 120
+WIDE_SET = 32
 #: Smallest shingle hashes of a document that name its cells.
 KEYS = 16
 #: Rows of a cell whose pairs are all looked at by fingerprint, at most, and the rows of a block of a larger one.
@@ -59,14 +62,17 @@ def _vote(hashes: np.ndarray) -> np.uint64:
     return np.packbits((votes * 2 > len(hashes)).ravel(), bitorder="little").view(np.uint64)[0]
 
 
-def wide_fingerprint(hashes: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """128-bit SimHash of a set of hashes; the second half votes on the mixed hashes."""
-    if not len(hashes):
-        return np.uint64(0), np.uint64(0)
-    x = hashes.copy()
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return _vote(hashes), _vote(x ^ (x >> np.uint64(31)))
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """512-bit SimHash of a set of hashes, as eight words; each word votes on the hashes mixed once more."""
+    out, x = np.zeros(8, np.uint64), hashes.copy()
+    for k in range(8 if len(hashes) else 0):
+        if k:
+            x = (x + np.uint64(0x9E3779B97F4A7C15)) ^ (x >> np.uint64(30))
+            x = x * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        out[k] = _vote(x)
+    return out
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -91,12 +97,12 @@ def _fingerprints(width: int):
                 sizes.append(len(hashes))
                 # The smallest hashes; a text without words has the key 0.
                 keys.append(hashes[:KEYS].view(np.int64) if len(hashes) else np.zeros(1, np.int64))
-            both = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
+            wide = np.array(prints, np.uint64).reshape(-1, 8).view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(tag, tag + batch.num_rows)), batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sizes, pa.int64()), lists],
-                names=["tag", "id", "hi", "lo", "m", "keys"],
+                [pa.array(np.arange(tag, tag + batch.num_rows)), batch.column(0), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(sizes, pa.int64()), lists, pa.FixedSizeListArray.from_arrays(pa.array(wide.ravel()), 8).cast(pa.list_(pa.int64()))],
+                names=["tag", "id", "hi", "lo", "m", "keys", "wide"],
             )
             tag += batch.num_rows
 
@@ -280,26 +286,32 @@ def _verify(least: float):
     return run
 
 
-def _attach(pairs: DataFrame, side: str, other: str, sets: DataFrame, name: str, total: int) -> DataFrame:
-    """The pairs with the sets of one side: a copy of a set serves _SERVED pairs, so no key fills a task."""
+def _attach(pairs: DataFrame, side: str, other: str, table: DataFrame, column: str, name: str, total: int) -> DataFrame:
+    """The pairs with one side's value of a column: a copy of a value serves _SERVED pairs, so no key fills a task."""
     sizes = pairs.groupBy(side).agg(F.count("*").alias("n"))
     copies = F.ceil(F.col("n") / _SERVED).cast("int")
     dealt = lookup_groups(pairs, sizes, side, "n", total).withColumn("copy", F.pmod(F.xxhash64(other), copies)).drop("n")
-    sent = sets.withColumnRenamed("tag", side).join(sizes, side).select(side, F.col("hashes").alias(name), F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1)).alias("copy"))
+    sent = table.withColumnRenamed("tag", side).join(sizes, side).select(side, F.col(column).alias(name), F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1)).alias("copy"))
     return dealt.join(sent, [side, "copy"]).drop("copy")
 
 
-def _similar(pairs: DataFrame, tagged: DataFrame, least: float, width: int, name: str) -> DataFrame:
-    """The distinct pairs (a, b) whose texts reach the similarity, as a written table."""
+def _similar(pairs: DataFrame, tagged: DataFrame, prints: DataFrame, least: float, width: int, name: str) -> DataFrame:
+    """The distinct pairs (a, b) that pass the wide fingerprint and whose sets reach the similarity, as a written table."""
     pairs = materialise(pairs.distinct(), f"{name}_pairs")
     total = pairs.count()
     if not total:
         return pairs
+    known = prints.select("tag", F.struct("m", "wide").alias("print"))
+    both = materialise(_attach(pairs, "b", "a", known, "print", "right", total), f"{name}_half")
+    both = _attach(both, "a", "b", known, "print", "left", total)
+    far = F.aggregate(F.zip_with("left.wide", "right.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
+    pairs = materialise(both.filter((F.least("left.m", "right.m") < WIDE_SET) | (far <= WIDE_RADIUS)).select("a", "b"), f"{name}_near")
+    total = pairs.count()
     wanted = pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct()
     sets = tagged.join(wanted, "tag", "left_semi").mapInArrow(_sets(width), "tag long, hashes array<long>")
     sets = materialise(sets, f"{name}_sets")
-    rows = materialise(_attach(pairs, "b", "a", sets, "right", total), f"{name}_rows")
-    rows = _attach(rows, "a", "b", sets, "left", total).select("a", "b", "left", "right")
+    rows = materialise(_attach(pairs, "b", "a", sets, "hashes", "right", total), f"{name}_rows")
+    rows = _attach(rows, "a", "b", sets, "hashes", "left", total).select("a", "b", "left", "right")
     return materialise(rows.mapInArrow(_verify(least), "a long, b long"), name)
 
 
@@ -318,7 +330,7 @@ def similar_labels(tagged: DataFrame, prints: DataFrame, radius: int = RADIUS, l
     cells = materialise(cells, "cells")
     shared = materialise(lookup_groups(rows, cells, "key", "n", sums["n"] or 0, "inner"), "shared")
     star = shared.filter(F.col("tag") != F.col("pivot.tag")).filter(_within(F.col("hi"), F.col("lo"), F.col("m"), "pivot", radius, least))
-    first = _similar(star.select(F.col("tag").alias("a"), F.col("pivot.tag").alias("b")), tagged, least, width, "similar")
+    first = _similar(star.select(F.col("tag").alias("a"), F.col("pivot.tag").alias("b")), tagged, prints, least, width, "similar")
     cell = F.concat_ws(":", "a", "b").alias("cell")
 
     def members(pairs):
@@ -331,7 +343,7 @@ def similar_labels(tagged: DataFrame, prints: DataFrame, radius: int = RADIUS, l
     fields = ("cell", "hi", "lo", "m", "tag", "label", "asks")
     small = marked.filter(F.col("n") <= cell_rows).join(mixed, "key", "left_semi").withColumn("asks", F.lit(True)).withColumn("cell", F.col("key"))
     small = small.repartition("cell").sortWithinPartitions("cell").select(*fields)
-    rest = _similar(small.mapInArrow(_cell_pairs(radius, least), "a long, b long"), tagged, least, width, "also_similar")
+    rest = _similar(small.mapInArrow(_cell_pairs(radius, least), "a long, b long"), tagged, prints, least, width, "also_similar")
     large = marked.filter(F.col("n") > cell_rows)
     if large.limit(1).count():
         rest = rest.unionByName(_large_cells(large, tagged, least, width))
@@ -374,7 +386,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("body")
     tagged = docs.select(F.monotonically_increasing_id().alias("tag"), body)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), body)
-    prints = materialise(pairs.mapInArrow(_fingerprints(width), "tag long, id long, hi long, lo long, m long, keys array<long>"), "wide_prints")
+    prints = materialise(pairs.mapInArrow(_fingerprints(width), "tag long, id long, hi long, lo long, m long, keys array<long>, wide array<long>"), "wide_prints")
     labels = similar_labels(tagged, prints, radius, least, width)
     rank = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("rank"), "tag")
     linked = materialise(labels.withColumnRenamed("node", "tag").join(prints.select("tag", "id"), "tag"), "similar_groups")

@@ -79,11 +79,26 @@ def test_odd_rows(odd_docs, no_docs):
 
 def test_wide_fingerprint_counts_bits():
     hashes = S.shingle_set(b"one two three four five six seven eight nine ten")
-    high, _ = S.wide_fingerprint(hashes)
-    assert int(high) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in hashes) > len(hashes))
+    words = S.wide_fingerprint(hashes)
+    assert int(words[0]) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in hashes) > len(hashes))
+    assert len(set(words.tolist())) == 8 and not S.wide_fingerprint(np.zeros(0, np.uint64)).any()
     assert S.jaccard(hashes, hashes[:5]) == 5 / 6 and S.jaccard(np.zeros(0), np.zeros(0)) == 1
 
 
+def test_similar_sets_stay_within_the_radii():
+    rng, narrow, wide = np.random.default_rng(3), [], []
+    for _ in range(3000):
+        shared = int(rng.integers(32, 400))
+        a, b = (int(x) for x in rng.multinomial(shared // 4, [0.5, 0.5]))
+        x = rng.integers(0, 1 << 63, shared + a + b, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, shared + a + b).astype(np.uint64)
+        one, two = S.wide_fingerprint(x[: shared + a]), S.wide_fingerprint(np.concatenate([x[:shared], x[shared + a :]]))
+        bits = np.bitwise_count(one ^ two)
+        narrow.append(int(bits[:2].sum()))
+        wide.append(int(bits.sum()))
+    assert max(narrow) <= S.RADIUS and max(wide) <= S.WIDE_RADIUS - 4
+    assert abs(np.mean(wide) - 78) < 3 and np.std(wide) < 9
+
+
 def test_a_shared_passage_links_nothing_and_hides_nothing(spark, tmp_path, monkeypatch):
     """Every text holds one long passage, so its shingles are large cells; short ends differ or nearly agree."""
     monkeypatch.setattr(S, "CELL_ROWS", 16)
