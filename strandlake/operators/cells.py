@@ -240,3 +240,46 @@ def wald(effects: DataFrame, threshold: float = 0.05, temperature: float = 0.01)
     return effects.select(
         "gene_id", z.alias("z"), p.alias("p"), (F.col("beta") / math.log(2)).alias("log2_fold"), S.logistic((threshold - p) / temperature).alias("significance")
     )
+
+
+def fate_probabilities(steps: DataFrame, n_terminal: int) -> DataFrame:
+    """(state, terminal, p): the chance that a walk over observed steps (source, target) ends in each terminal state.
+
+    The n_terminal greatest states are terminal. Transitions are counted by Spark; their table has a row for each pair of
+    states, which are clusters, and its small linear system is solved by the driver.
+    """
+    import numpy as np
+
+    from strandlake.operators.kernels import absorption_probabilities
+
+    n = steps.groupBy("source", "target").count().collect()
+    states = sorted({r["source"] for r in n} | {r["target"] for r in n})
+    at = {s: i for i, s in enumerate(states)}
+    m = np.zeros((len(states), len(states)))
+    for r in n:
+        m[at[r["source"]], at[r["target"]]] = r["count"]
+    m /= np.maximum(m.sum(1, keepdims=True), 1)
+    ends = np.arange(len(states)) >= len(states) - n_terminal
+    p = absorption_probabilities(m, ends)
+    rows = [(s, states[t], float(p[i, k])) for i, s in enumerate(states) for k, t in enumerate(np.nonzero(ends)[0])]
+    return steps.sparkSession.createDataFrame(rows, f"state {steps.schema['source'].dataType.simpleString()}, terminal {steps.schema['target'].dataType.simpleString()}, p double")
+
+
+def sparse_dynamics(rows: DataFrame, columns: list[str], change: str, degree: int = 2, threshold: float = 0.1, rounds: int = 10, ridge: float = 1e-3) -> DataFrame:
+    """(term, weight): the change regressed on a polynomial library of the columns, by one ridge solve and repeated soft thresholds.
+
+    The library has the columns and, for degree 2, their products; its Gram matrix is one aggregate, whatever the rows.
+    """
+    import numpy as np
+
+    terms = [(c, F.col(c)) for c in columns]
+    if degree > 1:
+        terms += [(f"{a}*{b}", F.col(a) * F.col(b)) for i, a in enumerate(columns) for b in columns[i:]]
+    cols = [t.cast("double") for _, t in terms] + [F.col(change).cast("double")]
+    n = len(cols)
+    sums = rows.agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n)]).first()
+    m = np.array([[sums[f"s{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
+    xi = np.linalg.solve(m[:-1, :-1] + ridge * np.eye(n - 1), m[:-1, -1])
+    for _ in range(rounds):
+        xi = xi / (1 + np.exp(-(np.abs(xi) - threshold) / 0.01))
+    return rows.sparkSession.createDataFrame([(name, float(v)) for (name, _), v in zip(terms, xi)], "term string, weight double")

@@ -156,3 +156,73 @@ def scaffold_split(rows: DataFrame, key: str, scaffold: str, train: float = 0.8,
     """Whole scaffolds, largest first (ties by name); rows without a scaffold form the group of the empty one."""
     named = rows.select(F.col(key).alias("id"), F.coalesce(F.col(scaffold), F.lit("")).alias("cluster"))
     return cluster_split(rows, named, key, train, valid)
+
+
+# Sequences
+def identity_pairs(sequences: DataFrame, threshold: float, id_col: str = "seq_id", seq_col: str = "sequence", block_rows: int = 256) -> DataFrame:
+    """(i, j), i < j, of sequences whose identity over the common prefix length exceeds the threshold.
+
+    All pairs by definition: sequences meet in pairs of blocks, whose tasks hand on only what they find.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = sequences.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(seq_col), F.lit("")), "UTF-8").alias("s"))
+    parts = max(1, -(-rows.count() // block_rows))
+    block = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = rows.select("id", "s", block.alias("bi"), every.alias("bj")).filter("bi <= bj")
+    right = rows.select(F.col("id").alias("id2"), F.col("s").alias("s2"), block.alias("bj2"), every.alias("bi2")).filter("bi2 <= bj2")
+
+    def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        ids, other = a.column(0).to_numpy(), b.column(0).to_numpy()
+        texts = [np.frombuffer(x, np.uint8) for x in b.column(1).to_pylist()]
+        n = np.array([len(t) for t in texts], np.int64)
+        wide = np.zeros((len(texts), int(n.max(initial=0))), np.uint8)
+        for k, t in enumerate(texts):
+            wide[k, : len(t)] = t
+        for i, x in zip(ids.tolist(), a.column(1).to_pylist()):
+            x = np.frombuffer(x, np.uint8)
+            m = min(len(x), wide.shape[1])
+            # Places beyond a sequence hold 0, which no letter is.
+            same = (wide[:, :m] == x[:m]).sum(1)
+            common = np.minimum(n, len(x))
+            hit = (common > 0) & (same > threshold * common) & (other != i)
+            found.append((np.minimum(i, other[hit]), np.maximum(i, other[hit])))
+        return pa.table({"i": np.concatenate([f[0] for f in found]), "j": np.concatenate([f[1] for f in found])})
+
+    return left.groupBy("bi", "bj").cogroup(right.groupBy("bi2", "bj2")).applyInArrow(run, "i long, j long").distinct()
+
+
+def greedy_representatives(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, representative) of greedy clustering in id order: a row joins the first representative that it is paired with, or becomes one.
+
+    Rounds settle rows: one whose open smaller partners are none is a representative, and its partners are not. The result
+    is that of the sequential walk; the rounds are as many as the longest chain of decisions.
+    """
+    both = cut_lineage(pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
+    left, chosen = cut_lineage(ids.select("id").distinct()), None
+    while True:
+        blocked = both.filter("j < i").join(left.select(F.col("id").alias("i")), "i", "left_semi").join(left.select(F.col("id").alias("j")), "j", "left_semi")
+        fresh = cut_lineage(left.join(blocked.select(F.col("i").alias("id")).distinct(), "id", "left_anti"))
+        chosen = fresh if chosen is None else cut_lineage(chosen.unionByName(fresh))
+        covered = both.join(fresh.select(F.col("id").alias("j")), "j", "left_semi").select(F.col("i").alias("id"))
+        left = cut_lineage(left.join(fresh.unionByName(covered).distinct(), "id", "left_anti"))
+        if not left.limit(1).count():
+            break
+    near = both.join(chosen.select(F.col("id").alias("j")), "j", "left_semi").groupBy(F.col("i").alias("id")).agg(F.min("j").alias("r"))
+    own = chosen.withColumn("own", F.col("id"))
+    return ids.select("id").distinct().join(own, "id", "left").join(near, "id", "left").select("id", F.coalesce("own", "r").alias("representative"))
+
+
+def identity_clusters(sequences: DataFrame, threshold: float = 0.8, id_col: str = "seq_id", seq_col: str = "sequence") -> DataFrame:
+    """(id, representative): greedy clusters of sequences, in id order."""
+    pairs = cut_lineage(identity_pairs(sequences, threshold, id_col, seq_col))
+    return greedy_representatives(sequences.select(F.col(id_col).cast("long").alias("id")), pairs)
+
+
+def identity_split(rows: DataFrame, threshold: float = 0.8, key: str = "seq_id", seq_col: str = "sequence", train: float = 0.8, valid: float = 0.1) -> DataFrame:
+    """Whole clusters of similar sequences to train, valid and test."""
+    clusters = cut_lineage(identity_clusters(rows, threshold, key, seq_col).withColumnRenamed("representative", "cluster"))
+    return cluster_split(rows, clusters, key, train, valid)

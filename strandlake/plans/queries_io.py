@@ -12,6 +12,8 @@ from strandlake.functions.numeric import hash_normal, rounded
 from strandlake.operators import cells as C
 from strandlake.operators import kernels as K
 from strandlake.operators import neural as N
+from strandlake.operators import reduction as V
+from strandlake.operators import relational as B
 from strandlake.operators import signals as X
 from strandlake.plans import derive as D
 from strandlake.plans import pipelines as P
@@ -362,58 +364,39 @@ _add("graph_networks", graph_nets)
 
 
 def pca(spark, sf_dir):
-    """Principal components from the 64 x 64 covariance, summed by Spark; scores by expression."""
-    p = D.points(spark, sf_dir)
-    n = p.count()
-    long = p.select("id", F.posexplode("vec").alias("a", "x"))
-    mean = [r["m"] for r in long.groupBy("a").agg(F.avg("x").alias("m")).orderBy("a").collect()]
-    centred = p.select("id", F.zip_with("vec", F.array(*[F.lit(m) for m in mean]), lambda x, m: x - m).alias("c"))
-    pairs = centred.select(F.posexplode("c").alias("a", "x"), "c").select("a", "x", F.posexplode("c").alias("b", "y"))
-    gram = np.zeros((64, 64))
-    for r in pairs.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect():
-        gram[r["a"], r["b"]] = r["s"] / max(n - 1, 1)
-    values, vectors = np.linalg.eigh(gram)
-    v = vectors[:, np.argsort(-values)[:3]]
-    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(3)])
-    score = lambda k: F.aggregate(F.zip_with("c", F.array(*[F.lit(float(x)) for x in v[:, k]]), lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t)
-    return centred.select("id", *[rounded(score(k), 5).alias(f"pc{k}") for k in range(3)])
+    scores, _, _ = V.robust_pca(D.points(spark, sf_dir).select("id", "vec"), 3, 0.0)
+    return scores.select("id", *[rounded(F.col("scores")[k], 5).alias(f"pc{k}") for k in range(3)])
 
 
 _add("principal_components", pca)
 
 
 def phased(spark, sf_dir):
-    """Fate probabilities over the label transition graph of consecutive points."""
+    """Fate probabilities over the label transition graph of consecutive points; the two greatest labels are terminal."""
     p = D.points(spark, sf_dir)
     nxt = p.select((F.col("id") - 1).alias("id"), F.col("label").alias("to"))
-    t = p.select("id", "label").join(nxt, "id").groupBy("label", "to").count().collect()
-    m = np.zeros((10, 10))
-    for r in t:
-        m[r["label"], r["to"]] = r["count"]
-    m = m / np.maximum(m.sum(1, keepdims=True), 1)
-    b = K.absorption_probabilities(m, np.arange(10) >= 8)
-    return spark.createDataFrame([(i, *[round(float(x), 6) for x in r]) for i, r in enumerate(b)], "state long, p0 double, p1 double")
+    steps = p.select(F.col("label").alias("source"), "id").join(nxt, "id").select("source", F.col("to").alias("target"))
+    return C.fate_probabilities(steps, 2).select("state", "terminal", rounded("p").alias("p"))
 
 
 _add("fate_probabilities", phased)
 
 
 def sparse_grn(spark, sf_dir):
-    s = D.signal(spark, sf_dir).orderBy("pos")
-    x = np.array([r["value"] for r in s.collect()])
-    theta = np.stack([x[:-1], x[:-1] ** 2 / 100], 1)
-    xi = K.sparse_dynamics(theta, np.diff(x)[:, None])
-    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(xi[:, 0])], "term long, weight double")
+    """The change of an hourly signal on itself and its square."""
+    s = D.signal(spark, sf_dir).select("pos", (F.col("value") / 100).alias("x"))
+    step = s.join(s.select((F.col("pos") - 1).alias("pos"), F.col("x").alias("y")), "pos").withColumn("dx", F.col("y") - F.col("x"))
+    return C.sparse_dynamics(step, ["x"], "dx", threshold=0.01).select("term", rounded("weight").alias("weight"))
 
 
 _add("sparse_dynamics", sparse_grn)
 
 
 def identity_clusters(spark, sf_dir):
-    """Greedy clusters in id order: sequential by definition, over the benchmark's short sequences."""
-    rows = D.item_sequences(spark, sf_dir).select("seq_id", F.col("sequence").alias("s")).orderBy("seq_id").collect()
-    out = K.greedy_clusters([(r[0], r[1]) for r in rows], 0.5)
-    return spark.createDataFrame(sorted(out.items()), "seq_id long, representative long")
+    """Greedy clusters in id order over the benchmark's short sequences: all pairs by definition."""
+    out = B.identity_clusters(D.item_sequences(spark, sf_dir), 0.5)
+    return out.select(F.col("id").alias("seq_id"), "representative")
 
 
 _add("sequence_identity_clusters", identity_clusters)
+_add("sequence_identity_split", lambda s, d: B.identity_split(D.item_sequences(s, d), 0.5).select("seq_id", "split"))

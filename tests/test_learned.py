@@ -210,10 +210,11 @@ def test_tfidf_svd_against_numpy(spark):
     assert np.allclose(got, y @ v, atol=1e-4)
 
 
-def test_phate_keeps_a_line_in_order():
-    x = np.arange(12.0)
-    y = R.phate(np.abs(x[:, None] - x[None]), 3, 5)[:, 0]
-    assert (np.diff(y) > 0).all() or (np.diff(y) < 0).all()
+def test_phate_separates_groups():
+    x = np.r_[RNG.normal(size=(10, 2)), RNG.normal(size=(10, 2)) + 30]
+    y = R.phate(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 6, 8, decay=2.0)
+    d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
+    assert y.shape == (20, 2) and np.median(d[:10, 10:]) > 2 * np.median(d[:10, :10])
 
 
 def butina(ids, pairs):
@@ -253,3 +254,55 @@ def test_nb_fit_recovers_the_means(spark):
     r = E.nb_fit(counts, design, 0.05).first()
     m = [np.mean([v for i, _, v in rows if i % 2 == k]) for k in (0, 1)]
     assert np.isclose(r.intercept, np.log(m[0]), atol=1e-3) and np.isclose(r.slope, np.log(m[1] / m[0]), atol=1e-3)
+
+
+def test_greedy_clusters_of_sequences_by_the_walk(spark):
+    from strandlake.operators import kernels as K
+
+    rng = np.random.default_rng(4)
+    for threshold, n in ((0.5, 60), (0.3, 40)):
+        rows = [(i, "".join(rng.choice(list("ACGT"), int(rng.integers(0, 9))))) for i in range(n)]
+        df = spark.createDataFrame(rows, "seq_id long, sequence string")
+        got = {r.id: r.representative for r in B.identity_clusters(df, threshold).collect()}
+        assert got == K.greedy_clusters(rows, threshold)
+    pairs = sorted((r.i, r.j) for r in B.identity_pairs(df, 0.3, block_rows=7).collect())
+    assert pairs == sorted((r.i, r.j) for r in B.identity_pairs(df, 0.3).collect()) and len(pairs) > 10
+
+
+def test_fates_and_sparse_dynamics(spark):
+    from strandlake.operators import cells as C
+
+    steps = spark.createDataFrame([(0, 1), (0, 2), (1, 1), (2, 2)], "source long, target long")
+    assert {(r.state, r.terminal): round(r.p, 6) for r in C.fate_probabilities(steps, 2).collect()} == {(0, 1): 0.5, (0, 2): 0.5, (1, 1): 1, (1, 2): 0, (2, 1): 0, (2, 2): 1}
+    x = RNG.uniform(-1, 1, 300)
+    df = spark.createDataFrame([(float(v), float(2 * v - 1.5 * v * v)) for v in x], "x double, dx double")
+    w = {r.term: r.weight for r in C.sparse_dynamics(df, ["x"], "dx").collect()}
+    assert abs(w["x"] - 2) < 1e-3 and abs(w["x*x"] + 1.5) < 1e-3
+
+
+def test_registries_and_checks(spark):
+    from strandlake.plans import registries as G
+
+    r = G.Registry("thing")
+    r.register("a", dict)
+    r.register("a", dict)
+    with pytest.raises(ValueError):
+        r.register("a", list)
+    with pytest.raises(KeyError):
+        r.get("b")
+    assert r.create("a", x=1) == {"x": 1} and r.table(spark).first().name == "a"
+    with pytest.raises(ValueError):
+        G.check_embedding(spark.createDataFrame([(1, [1.0]), (2, None)], "id long, vec array<double>"))
+    with pytest.raises(ValueError):
+        G.comparison_key(["x"], {})
+    with pytest.raises(KeyError):
+        G.experimental_capability("nothing")
+
+
+def test_missing_solvers_and_graders_are_errors(spark):
+    from strandlake.operators import integration as I
+
+    p = spark.createDataFrame([("a", "known", "exact", "1"), ("b", "known", "other", "1"), ("c", "missing", "exact", "1")], "problem_id string, task_type string, grader_type string, expected_answer string")
+    exact = lambda a, e: F.struct((a == e).alias("passed"), (a == e).cast("double").alias("score"))
+    got = {r.problem_id: (r.passed, r.error) for r in I.run_benchmark(p, {"known": lambda: spark.range(1, 2)}, {"exact": exact}).collect()}
+    assert got == {"a": (True, None), "b": (False, "grading error: unknown grader"), "c": (False, "solve error: KeyError")}
