@@ -1,6 +1,12 @@
 """The corpus pipeline: quality, exact copies, near copies, benchmark leaks, packing; each stage written and reread.
 
-Every stage works on all rows that its predecessor kept, and all but the last return the columns of `documents`.
+Every stage works on all rows that its predecessor kept, and all but the last return the columns of `documents`. Every
+stage reads its input more than once, so it must be a table of files, as `run` writes them.
+
+Defined cases, for every stage: an empty table gives an empty result; null and empty texts are texts without words (the
+quality stage scores them like any other, the two deduplicating stages take them for copies of each other, the
+decontaminating stage keeps them, and packing gives them their end token); texts of any length are read whole; null ids
+and repeated rows are rows of their own; other columns may hold nulls and have any name, and come out as they were.
 """
 
 from __future__ import annotations
@@ -17,27 +23,27 @@ from strandlake.llm.similar_dedup import drop_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts: scores at the threshold stay; without any label all stay."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one of the largest id."""
+    """One document of each group of equal texts (but for the case of A-Z): the one of the largest id, of equal ids the last; a null id is the least."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (similarity of five-word shingles): the one of the smallest id."""
+    """One document of each component of near copies (similarity of five-word shingles): the one of the smallest id, of equal ids the first; a null id is the greatest."""
     return drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty items are held by none."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences: every id of every document is in one piece."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
