@@ -28,6 +28,25 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
     assert docs.select("doc_id").distinct().count() == kept.count()
 
 
+def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    """Nulls, empties, repeats, a very long text, and columns named like the operators' own."""
+    clash = ["best_tag", "__tag", "__kept", "__gone", "__body", "__score", "__id", "label", "home", "m", "keys", "key", "cell"]
+    for source, n in ((odd_docs, 12), (no_docs, 0)):
+        path = str(tmp_path / f"in{n}")
+        source.selectExpr("*", "'x' AS source", "1 AS n_chars", *[f"'{c}' AS {c}" for c in clash]).write.parquet(path)
+        docs = spark.read.parquet(path)
+        columns, sizes = docs.columns, []
+        for k, (_, stage) in enumerate(P.STAGES):
+            out = str(tmp_path / f"{n}-{k}")
+            stage(spark, docs, SF).write.parquet(out)
+            docs = spark.read.parquet(out)
+            sizes.append(docs.count())
+            assert k == 4 or docs.columns == columns
+        assert sizes[:4] == sorted(sizes[:4], reverse=True) and (n or not any(sizes))
+    deduplicated = P.exact_dedup(spark, spark.read.parquet(str(tmp_path / "in12")), SF)
+    assert deduplicated.count() == 8 and deduplicated.columns == columns
+
+
 def test_registry_has_eleven_queries():
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names

@@ -48,3 +48,14 @@ def test_records_parse_back():
     (h1, b1), (h2, b2) = W.read_records(io.BytesIO(raw))
     assert h1["warc-type"] == "response" and b1.endswith(b"payload\r\n\r\nmore") and h1["warc-target-uri"] == "http://x/a%20b"
     assert h2["warc-refers-to"] == h1["warc-record-id"] and "x-page-id" not in h2 and b2.endswith(b"\r\n\r\n")
+
+
+def test_archives_end_at_their_bytes(spark, pages, tmp_path, monkeypatch):
+    """A payload beyond an archive's bytes gets an archive of its own, and all records read back."""
+    monkeypatch.setattr(W, "ARCHIVE_BYTES", 2000)
+    path = f"file://{tmp_path}/small"
+    W.write_archives(pages.coalesce(1), path)
+    files = [f for f in (tmp_path / "small").iterdir() if f.name.startswith("part-") and f.stat().st_size]
+    assert len(files) > 5
+    got = sorted((str(r.page_id), r.payload_bytes) for r in W.read_archives(spark, path).collect())
+    assert got == sorted((str(r.page_id), len((r.html or "").encode())) for r in pages.collect())
