@@ -12,13 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rising coefficients of the S-curves on [-1, 1], and of five times their antiderivatives.
-CURVES = {"c0": (0.5, 0.5), "c1": (0.5, 0.75, 0.0, -0.25), "c2": (0.5, 0.9375, 0.0, -0.625, 0.0, 0.1875)}
-RAMPS = {
-    "c0": (0.25, 0.5, 0.25),
-    "c1": (0.1875, 0.5, 0.375, 0.0, -0.0625),
-    "c2": (0.15625, 0.5, 0.46875, 0.0, -0.15625, 0.0, 0.03125),
-}
+#: Coefficients of the S-curves on [-1, 1], from the highest power down.
+CURVES = {"c0": (0.5, 0.5), "c1": (-0.25, 0.0, 0.75, 0.5), "c2": (0.1875, 0.0, -0.625, 0.0, 0.9375, 0.5)}
 EPSILON = 1e-10
 
 
@@ -31,8 +26,15 @@ def check_softness(softness: float) -> None:
         raise ValueError(f"softness must be positive, not {softness}")
 
 
-def _poly(u: Column, rising) -> Column:
-    return reduce(lambda acc, c: acc * u + F.lit(c), reversed(rising[:-1]), F.lit(rising[-1]))
+def _poly(u: Column, falling) -> Column:
+    return reduce(lambda acc, c: acc * u + F.lit(c), falling[1:], F.lit(falling[0]))
+
+
+def _integral(falling) -> tuple[float, ...]:
+    """Coefficients of the antiderivative that is 0 at -1."""
+    n = len(falling)
+    raised = [c / (n - k) for k, c in enumerate(falling)]
+    return (*raised, -sum(c * (-1) ** (n - k) for k, c in enumerate(raised)))
 
 
 def logistic(x) -> Column:
@@ -64,7 +66,7 @@ def softrelu(x, softness: float = 0.1, mode: str = "smooth", gated: bool = False
     if mode == "smooth":
         return softplus(x / softness) * softness
     u = x / (5.0 * softness)
-    return F.when(u < -1, F.lit(0.0)).when(u < 1, 5.0 * softness * _poly(u, RAMPS[mode])).otherwise(x)
+    return F.when(u < -1, F.lit(0.0)).when(u < 1, 5.0 * softness * _poly(u, _integral(CURVES[mode]))).otherwise(x)
 
 
 def relu(x, softness: float = 0.1, mode: str = "smooth", gated: bool = False) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import soft as S
-from strandlake.functions.numeric import lgamma
+from strandlake.functions.numeric import array_softmax, dot, let, lgamma
 from strandlake.functions.sequence import BASES, phred_to_probability
 
 
@@ -38,6 +38,43 @@ def adapter_trim(reads: DataFrame, adapter: str, least_overlap: int = 3, least_s
     return reads.withColumn("trim_at", cut.cast("long")).withColumn("trimmed", F.substring(s, F.lit(1), cut))
 
 
+def soft_adapter(reads: DataFrame, adapter: str, least_overlap: int = 3, threshold: float = 0.5, temperature: float = 1.0, match: float = 2.0, mismatch: float = -1.0) -> DataFrame:
+    """Soft adapter removal: trim_at and retained, an array with a weight for each base.
+
+    Every start has the score of its overlap with the adapter, over twice the overlap's length (0 if that is too short).
+    The trim position is the mean start under a softmax of what exceeds the threshold, or the read's end where nothing
+    does; a base is retained by a logistic of the trim position less its own.
+    """
+    n = F.length("sequence")
+    letters = F.filter(F.split("sequence", ""), lambda c: c != "")
+    own = F.array(*[F.lit(c) for c in adapter])
+
+    def score(s, start):
+        k = F.least(F.lit(len(adapter)), n - start)
+        pairs = F.zip_with(F.slice(s, start + 1, k), F.slice(own, F.lit(1), k), lambda a, b: F.when(a == b, match).otherwise(mismatch))
+        return F.when(k >= least_overlap, F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v) / (2.0 * k)).otherwise(0.0)
+
+    scores = let(letters, lambda s: F.transform(F.sequence(F.lit(0), n - 1), lambda i: score(s, i)))
+    out = reads.withColumn("__s", F.when(n > 0, scores).otherwise(F.array().cast("array<double>")))
+    weights = array_softmax(F.transform("__s", lambda v: F.greatest(v - threshold, F.lit(0.0))), temperature)
+    mean = F.aggregate(F.transform(weights, lambda w, i: w * i), F.lit(0.0), lambda acc, v: acc + v)
+    out = out.withColumn("trim_at", F.when(F.exists("__s", lambda v: v > threshold), mean).otherwise(n.cast("double")))
+    return out.withColumn("retained", F.transform("__s", lambda _, i: S.logistic((F.col("trim_at") - i) / temperature))).drop("__s")
+
+
+def soft_duplicate_weights(reads: DataFrame, by: str, key: str = "id", vec: str = "vec", threshold: float = 0.9, temperature: float = 0.05) -> DataFrame:
+    """(by, key, weight): 1 / soft number of similar reads of the same batch, scaled to mean 1 in the batch.
+
+    Similar by the cosine of embeddings; `by` names the batch, which the caller bounds, since its reads meet in pairs.
+    """
+    norm = F.sqrt(dot(vec, vec)) + 1e-8
+    x = reads.select(by, key, F.transform(vec, lambda v: v / norm).alias("x"))
+    y = x.select(by, F.col("x").alias("y"))
+    size = F.sum(S.logistic((dot("x", "y") - threshold) / temperature))
+    sizes = x.join(y, by).groupBy(by, key).agg((1.0 / F.greatest(size, F.lit(1.0))).alias("w"))
+    return sizes.select(by, key, (F.col("w") / F.avg("w").over(Window.partitionBy(by))).alias("weight"))
+
+
 def duplicate_weights(reads: DataFrame, sequence: str = "sequence") -> DataFrame:
     """1 / copies of each sequence, scaled to mean 1."""
     copies = reads.groupBy(sequence).agg(F.count("*").alias("copies"))

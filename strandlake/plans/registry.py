@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import queries_cells, queries_datasets, queries_embedding, queries_eval, queries_functions, queries_io, queries_learned, queries_more, queries_relational, queries_signals, sql_twins
+from strandlake.plans import queries_cells, queries_datasets, queries_embedding, queries_eval, queries_formats, queries_functions, queries_io, queries_learned, queries_more, queries_relational, queries_signals, sql_twins
 
-MODULES = (queries_functions, queries_cells, queries_relational, queries_signals, queries_io, queries_embedding, queries_more, queries_eval, queries_learned, queries_datasets, sql_twins)
+MODULES = (queries_functions, queries_cells, queries_relational, queries_signals, queries_io, queries_embedding, queries_more, queries_eval, queries_learned, queries_datasets, queries_formats, sql_twins)
 
 
 def queries() -> dict:
