@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import lookup_groups, materialise, min_label_components, spare_name
-from strandlake.llm.simhash_dedup import _BITS, _LANES, Groups, shingle_hashes
+from strandlake.llm.simhash_dedup import Groups, shingle_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -56,23 +56,21 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def _vote(hashes: np.ndarray) -> np.uint64:
-    lanes = hashes.view(np.uint8).reshape(len(hashes), 8) + _LANES
-    votes = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return np.packbits((votes * 2 > len(hashes)).ravel(), bitorder="little").view(np.uint64)[0]
-
-
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """512-bit SimHash of a set of hashes, as eight words; each word votes on the hashes mixed once more."""
-    out, x = np.zeros(8, np.uint64), hashes.copy()
-    for k in range(8 if len(hashes) else 0):
-        if k:
-            x = (x + np.uint64(0x9E3779B97F4A7C15)) ^ (x >> np.uint64(30))
-            x = x * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-        out[k] = _vote(x)
-    return out
+    x, words = hashes, [hashes]
+    for _ in range(7):
+        x = (x + np.uint64(0x9E3779B97F4A7C15)) ^ (x >> np.uint64(30))
+        x = x * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = x ^ (x >> np.uint64(31))
+        words.append(x)
+    lanes = np.stack(words, axis=1).view(np.uint8).reshape(len(hashes), 64)
+    votes = np.zeros(512, np.int64)
+    # As many rows at a time as a byte can count.
+    for i in range(0, len(hashes), 255):
+        votes += np.add.reduce(np.unpackbits(lanes[i : i + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
