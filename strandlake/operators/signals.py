@@ -22,18 +22,16 @@ def quality_filter(reads: DataFrame, threshold: float = 20.0, temperature: float
 def adapter_trim(reads: DataFrame, adapter: str, least_overlap: int = 3, least_score: float = 0.8) -> DataFrame:
     """Hard adapter removal: cut at the first start whose overlap with the adapter matches well enough."""
     s, n = F.col("sequence"), F.length("sequence")
+    letters, own = F.filter(F.split(s, ""), lambda c: c != ""), F.array(*[F.lit(c) for c in adapter])
 
-    def score(start):
+    def fits(text, start):
         k = F.least(F.lit(len(adapter)), n - start)
-        same = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
-            F.lit(0),
-            lambda acc, i: acc + (F.substring(s, start + i, F.lit(1)) == F.substring(F.lit(adapter), i, F.lit(1))).cast("int"),
-        )
-        return F.when(k >= least_overlap, same / k).otherwise(0.0)
+        pairs = F.zip_with(F.slice(text, start + 1, k), F.slice(own, F.lit(1), k), lambda a, b: (a == b).cast("int"))
+        return (k >= least_overlap) & (F.aggregate(pairs, F.lit(0), lambda acc, v: acc + v) / k >= least_score)
 
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(starts, lambda i: score(i) >= least_score)
+    # An array of letters, made once: places of a string would be sought from its start each time.
+    hits = let(letters, lambda text: F.filter(starts, lambda i: fits(text, i)))
     cut = F.coalesce(F.try_element_at(hits, F.lit(1)), n)
     return reads.withColumn("trim_at", cut.cast("long")).withColumn("trimmed", F.substring(s, F.lit(1), cut))
 

@@ -322,7 +322,7 @@ _add(
 
 
 def dna_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = D.item_sequences(spark, sf_dir).withColumn("e", Q.one_hot("sequence"))
+    s = D.sequences(spark, sf_dir).withColumn("e", Q.one_hot("sequence"))
     mass = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.aggregate("e", F.lit(0.0), lambda acc, p: acc + p[j]))
     return s.select("seq_id", Q.decode_one_hot("e").alias("decoded"), *[mass[i].alias(f"n_{b}") for i, b in enumerate(Q.BASES)])
 
@@ -330,7 +330,7 @@ def dna_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(
     "dna_encode_decode",
     dna_codec,
-    f"WITH {D.ITEM_SEQUENCES} SELECT seq_id, sequence AS decoded, "
+    f"WITH {D.SEQUENCES} SELECT seq_id, sequence AS decoded, "
     + ", ".join(f"CAST(length(sequence) - length(replace(sequence, '{b}', '')) AS DOUBLE) AS n_{b}" for b in "ACGT")
     + " FROM sequences",
 )

@@ -33,13 +33,13 @@ _add("quality_filter_hard", lambda s, d: X.quality_filter(D.reads(s, d), 20.0, m
 
 
 def adapters(spark, sf_dir):
-    return X.adapter_trim(D.item_sequences(spark, sf_dir), "ATTC", 3, 0.75).select("seq_id", "trim_at", "trimmed")
+    return X.adapter_trim(D.sequences(spark, sf_dir), "ATTC", 3, 0.75).select("seq_id", "trim_at", "trimmed")
 
 
 _add(
     "adapter_removal",
     adapters,
-    f"""WITH {D.ITEM_SEQUENCES}, p AS (SELECT seq_id, sequence, unnest(range(length(sequence))) AS i FROM sequences), o AS (SELECT *, least(4, length(sequence) - i) AS k FROM p),
+    f"""WITH {D.SEQUENCES}, p AS (SELECT seq_id, sequence, unnest(range(length(sequence))) AS i FROM sequences), o AS (SELECT *, least(4, length(sequence) - i) AS k FROM p),
     m AS (SELECT seq_id, i, k, list_sum([CAST(substr(sequence, i + x, 1) = substr('ATTC', x, 1) AS INT) FOR x IN range(1, k + 1)]) / k AS s FROM o),
     c AS (SELECT seq_id, min(i) AS cut FROM m WHERE k >= 3 AND s >= 0.75 GROUP BY 1)
     SELECT seq_id, CAST(coalesce(cut, length(sequence)) AS BIGINT) AS trim_at, substr(sequence, 1, coalesce(cut, length(sequence))) AS trimmed FROM sequences LEFT JOIN c USING (seq_id)""",
@@ -409,7 +409,7 @@ _add("hmm_forward_backward", hmm)
 
 def profile(spark, sf_dir):
     m = np.array([[c[b] for b in "ACGT"] for c in PWM])
-    return K.per_row(D.item_sequences(spark, sf_dir), ["sequence"], {"score": T.DoubleType()}, lambda s: (round(K.profile_forward(_codes(s), m, np.full(4, 0.25)), 6),)).select("seq_id", "score")
+    return K.per_row(D.sequences(spark, sf_dir), ["sequence"], {"score": T.DoubleType()}, lambda s: (round(K.profile_forward(_codes(s), m, np.full(4, 0.25)), 6),)).select("seq_id", "score")
 
 
 _add("profile_hmm", profile)
