@@ -49,6 +49,8 @@ COLD = 10
 _LEAF = 128
 #: Pairs that one copy of a set of hashes serves in the verification.
 _SERVED = 64
+#: Numbers of rows that may be broadcast (8 MB) to pick those rows from a scan; more are met by shuffle.
+BROADCAST_TAGS = 1_000_000
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -293,6 +295,12 @@ def _attach(pairs: DataFrame, side: str, other: str, table: DataFrame, column: s
     return dealt.join(sent, [side, "copy"]).drop("copy")
 
 
+def _picked(rows: DataFrame, tags: DataFrame, key: str, how: str, name: str) -> DataFrame:
+    """A semi or anti join of a scan with row numbers, whose size is checked before they are broadcast."""
+    tags = materialise(tags, name)
+    return rows.join(F.broadcast(tags) if tags.count() <= BROADCAST_TAGS else tags, key, how)
+
+
 def _similar(pairs: DataFrame, tagged: DataFrame, prints: DataFrame, least: float, width: int, name: str) -> DataFrame:
     """The distinct pairs (a, b) that pass the wide fingerprint and whose sets reach the similarity, as a written table."""
     pairs = materialise(pairs.distinct(), f"{name}_pairs")
@@ -306,7 +314,7 @@ def _similar(pairs: DataFrame, tagged: DataFrame, prints: DataFrame, least: floa
     pairs = materialise(both.filter((F.least("left.m", "right.m") < WIDE_SET) | (far <= WIDE_RADIUS)).select("a", "b"), f"{name}_near")
     total = pairs.count()
     wanted = pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct()
-    sets = tagged.join(wanted, "tag", "left_semi").mapInArrow(_sets(width), "tag long, hashes array<long>")
+    sets = _picked(tagged, wanted, "tag", "left_semi", f"{name}_wanted").mapInArrow(_sets(width), "tag long, hashes array<long>")
     sets = materialise(sets, f"{name}_sets")
     rows = materialise(_attach(pairs, "b", "a", sets, "hashes", "right", total), f"{name}_rows")
     rows = _attach(rows, "a", "b", sets, "hashes", "left", total).select("a", "b", "left", "right")
@@ -359,7 +367,7 @@ def _large_cells(marked: DataFrame, tagged: DataFrame, least: float, width: int)
     main = materialise(main.filter("of > most").select("key", "main", "of", (F.col("of") - F.col("most")).alias("asking")), "main_labels")
     sized = lookup_groups(rows, main, "key", "of", rows.count(), "inner")
     wanted = sized.select("tag").distinct()
-    sets = tagged.join(wanted, "tag", "left_semi").mapInArrow(_sets(width), "tag long, hashes array<long>")
+    sets = _picked(tagged, wanted, "tag", "left_semi", "large_wanted").mapInArrow(_sets(width), "tag long, hashes array<long>")
     held = materialise(sized.join(materialise(sets, "large_sets"), "tag"), "large_rows")
     ask = F.col("label") != F.col("main")
     blocks, chunks = F.ceil(F.col("of") / BLOCK_ROWS).cast("int"), F.ceil(F.col("asking") / BLOCK_ROWS).cast("int")
@@ -389,7 +397,6 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("rank"), "tag")
     linked = materialise(labels.withColumnRenamed("node", "tag").join(prints.select("tag", "id"), "tag"), "similar_groups")
     chosen = linked.groupBy("label").agg(F.min(rank).alias("first")).select(F.col("first.tag").alias("tag"))
-    tag, gone_tag = spare_name(docs, "__tag"), spare_name(docs, "__gone")
-    gone = linked.select("tag").join(chosen, "tag", "left_anti").select(F.col("tag").alias(gone_tag))
-    with_tag = docs.withColumn(tag, F.monotonically_increasing_id())
-    return with_tag.join(gone, F.col(tag) == F.col(gone_tag), "left_anti").drop(tag)
+    tag = spare_name(docs, "__tag")
+    gone = linked.select("tag").join(chosen, "tag", "left_anti").select(F.col("tag").alias(tag))
+    return _picked(docs.withColumn(tag, F.monotonically_increasing_id()), gone, tag, "left_anti", "gone").select(*[F.col(f"`{c}`") for c in docs.columns])

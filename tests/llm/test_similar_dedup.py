@@ -57,6 +57,7 @@ def test_large_cells_give_the_same(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "CELL_ROWS", 8)
     monkeypatch.setattr(S, "BLOCK_ROWS", 11)
     monkeypatch.setattr(S, "_SERVED", 3)
+    monkeypatch.setattr(S, "BROADCAST_TAGS", 2)
     rng = random.Random(3)
     base = [f"w{k}" for k in range(150)]
     hot = []
