@@ -134,11 +134,11 @@ _add(
 
 
 def gaps(spark, sf_dir):
-    w = D.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("i"), (F.col("l_partkey") % 6 + 1).alias("j"), (F.col("l_quantity") / 50).alias("w"))
+    w = D.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("i"), (F.col("l_partkey") % 6 + 1).alias("j"), (F.col("l_quantity") / 49).alias("w"))
     return E.gap_pattern_loss(w, 0.5).select("pair_id", rounded("loss").alias("loss"))
 
 
-_GAP = """w AS (SELECT l_orderkey AS pair_id, l_linenumber AS i, l_partkey % 6 + 1 AS j, l_quantity / 50 AS w FROM lineitem), r AS (SELECT pair_id, i, sum(w) AS mass, max(j) AS j FROM w GROUP BY 1, 2),
+_GAP = """w AS (SELECT l_orderkey AS pair_id, l_linenumber AS i, l_partkey % 6 + 1 AS j, l_quantity / 49 AS w FROM lineitem), r AS (SELECT pair_id, i, sum(w) AS mass, max(j) AS j FROM w GROUP BY 1, 2),
   l AS (SELECT pair_id, avg(abs(1 - mass)) AS un, max(i) AS n, max(j) AS m FROM r GROUP BY 1), o AS (SELECT pair_id, sum(w * abs(i / greatest(n, 1) - j / greatest(m, 1))) / greatest(sum(w), 1e-8) AS o FROM w JOIN l USING (pair_id) GROUP BY 1),
   gap AS (SELECT pair_id, un + 0.5 * o AS loss FROM l JOIN o USING (pair_id))"""
 _add("gap_pattern_loss", gaps, f"WITH {_GAP} SELECT pair_id, round(loss, 6) + 0.0 AS loss FROM gap")
