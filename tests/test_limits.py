@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions.numeric import ieee_log
+from strandlake.operators import signals as X
 from strandlake.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +25,13 @@ def test_mixture_of_a_zero_value_equals_its_sql(spark, tmp_path):
     assert len(zero) == 100 and all(r.log_density == -math.inf and math.isnan(r.r0) for r in zero)
     assert all(math.isfinite(r.log_density) and 0 <= r.r0 <= 1 for r in rows if r.id % 10)
     assert math.isnan(spark.range(1).select(ieee_log(F.lit(-1.0))).first()[0])
+
+
+def test_copies_far_from_every_state(spark, tmp_path):
+    t = spark.createDataFrame([(1.0,), (50.0,), (-50.0,)], "ratio double")
+    got = [r.copies for r in X.copy_number_posterior(t).orderBy("ratio").collect()]
+    assert abs(got[0]) < 1e-9 and abs(got[1] - 2) < 1e-9 and got[2] == 4.0
+    # 1,000 events in one hour: the SQL's sums underflow.
+    at = events_with(spark, tmp_path, lambda e: e.withColumn("ts", F.lit("2024-01-01 05:30:00").cast("timestamp_ntz")))
+    (row,) = registry.queries()["copy_number"](spark, at).collect()
+    assert row.start == 5 and math.isnan(row.copies)
