@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from strandlake.operators import graph as G
 
 
-def silhouettes(points: DataFrame, by: str) -> DataFrame:
-    """(id, by, s): (b - a) / max(a, b) with a the mean distance to the own group's others and b to the nearest other group; 0 for singletons."""
-    sums = G.distance_sums(points, by).withColumnRenamed(by, "other")
+def silhouettes(points: DataFrame, by: str, sums: DataFrame | None = None) -> DataFrame:
+    """(id, by, s): (b - a) / max(a, b) with a the mean distance to the own group's others and b to the nearest other group; 0 for singletons. sums: distance_sums, if known."""
+    sums = (G.distance_sums(points, by) if sums is None else sums).withColumnRenamed(by, "other")
     own = points.select("id", F.col(by).cast("long").alias(by))
     per = sums.filter("n > 0").join(own, "id").withColumn("m", F.col("total") / F.col("n"))
     mine = F.max(F.when(F.col("other") == F.col(by), F.col("m")))
@@ -21,19 +21,24 @@ def silhouettes(points: DataFrame, by: str) -> DataFrame:
     return ab.select("id", by, F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("s"))
 
 
-def silhouette_label(points: DataFrame, label: str = "label") -> DataFrame:
+def silhouette_label(points: DataFrame, label: str = "label", sums: DataFrame | None = None) -> DataFrame:
     """One row: the mean silhouette of labels, scaled to 0..1."""
-    return silhouettes(points, label).agg(F.avg((F.col("s") + 1) / 2).alias("silhouette_label"))
+    return silhouettes(points, label, sums).agg(F.avg((F.col("s") + 1) / 2).alias("silhouette_label"))
 
 
-def silhouette_batch(points: DataFrame, label: str = "label", batch: str = "batch") -> DataFrame:
+def _coded(points: DataFrame, label: str, batch: str) -> DataFrame:
+    """Label and batch as one code g, whose millions are the label."""
+    return points.withColumn("g", F.col(label).cast("long") * 1_000_000 + F.col(batch).cast("long"))
+
+
+def silhouette_batch(points: DataFrame, label: str = "label", batch: str = "batch", sums: DataFrame | None = None) -> DataFrame:
     """One row: the mean over labels of 1 - |silhouette of batches within the label|.
 
     Batches of one label are compared with each other only: label and batch are coded together, and other labels' rows
-    are left out of the distances.
+    are left out of the distances. sums: distance_sums of all those codes, if known.
     """
-    codes = points.withColumn("g", F.col(label).cast("long") * 1_000_000 + F.col(batch).cast("long"))
-    sums = G.distance_sums(codes, "g").filter("n > 0")
+    codes = _coded(points, label, batch)
+    sums = (G.distance_sums(codes, "g", within=label) if sums is None else sums).filter("n > 0")
     own = codes.select("id", F.col(label).cast("long").alias("l"), F.col("g").alias("mine"))
     near = sums.join(own, "id").filter(F.floor(F.col("g") / 1_000_000) == F.col("l")).withColumn("m", F.col("total") / F.col("n"))
     a, b = F.max(F.when(F.col("g") == F.col("mine"), F.col("m"))), F.min(F.when(F.col("g") != F.col("mine"), F.col("m")))
