@@ -124,17 +124,19 @@ def kbet(neighbours: DataFrame, codes: DataFrame, label: str = "label", batch: s
     return stat.groupBy("li").agg(F.avg(passed).alias("v")).agg(F.avg("v").alias("kbet"))
 
 
-def isolated_labels(points: DataFrame, label: str = "label", batch: str = "batch") -> DataFrame:
-    """One row: the mean scaled silhouette, against all other cells, of the labels that the fewest batches hold."""
+def isolated_labels(points: DataFrame, label: str = "label", batch: str = "batch", sums: DataFrame | None = None) -> DataFrame:
+    """One row: the mean scaled silhouette, against all other cells, of the labels that the fewest batches hold.
+
+    One table of distance sums by label, `sums` if known, serves every label: all other cells are the other labels' sums.
+    """
     held = points.groupBy(label).agg(F.countDistinct(batch).alias("b"))
-    least = held.agg(F.min("b")).first()[0]
-    names = [r[0] for r in held.filter(F.col("b") == least).select(label).orderBy(label).collect()]
-    out = None
-    for name in names:
-        two = points.withColumn("two", (F.col(label) == name).cast("long"))
-        part = silhouettes(two, "two").filter("two = 1").agg(F.avg((F.col("s") + 1) / 2).alias("v"))
-        out = part if out is None else out.unionByName(part)
-    return out.agg(F.avg("v").alias("isolated_labels"))
+    names = held.join(F.broadcast(held.agg(F.min("b").alias("least"))), F.col("b") == F.col("least")).select(F.col(label).cast("long").alias("own"))
+    sums = (G.distance_sums(points, label) if sums is None else sums).select("id", F.col(label).alias("other"), "total", "n")
+    own = points.select("id", F.col(label).cast("long").alias("own")).join(F.broadcast(names), "own")
+    per = sums.filter("n > 0").join(own, "id").groupBy("id", "own", (F.col("other") == F.col("own")).alias("inside")).agg((F.sum("total") / F.sum("n")).alias("m"))
+    ab = per.groupBy("id", "own").agg(F.max(F.when(F.col("inside"), F.col("m"))).alias("a"), F.max(F.when(~F.col("inside"), F.col("m"))).alias("b"))
+    s = F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))
+    return ab.groupBy("own").agg(F.avg((s + 1) / 2).alias("v")).agg(F.avg("v").alias("isolated_labels"))
 
 
 def integration_suite(points: DataFrame, clusters: DataFrame, k: int = 15, label: str = "label", batch: str = "batch") -> DataFrame:
@@ -143,9 +145,12 @@ def integration_suite(points: DataFrame, clusters: DataFrame, k: int = 15, label
 
     near, codes = cut_lineage(G.knn(points.select("id", "vec"), k)), points.select("id", label, batch)
     named = codes.join(clusters.select("id", "cluster"), "id")
+    # One pass over all pairs serves the three silhouettes.
+    sums = cut_lineage(G.distance_sums(_coded(points, label, batch), "g"))
+    by_label = sums.groupBy("id", F.floor(F.col("g") / 1_000_000).alias(label)).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     parts = [
-        silhouette_label(points, label), silhouette_batch(points, label, batch), contingency_scores(named, label, "cluster").select(F.col("nmi").alias("nmi_kmeans"), F.col("ari").alias("ari_kmeans")),
-        lisi_scores(near, codes, label, batch), graph_connectivity(near, codes, label), isolated_labels(points, label, batch), kbet(near, codes, label, batch),
+        silhouette_label(points, label, by_label), silhouette_batch(points, label, batch, sums), contingency_scores(named, label, "cluster").select(F.col("nmi").alias("nmi_kmeans"), F.col("ari").alias("ari_kmeans")),
+        lisi_scores(near, codes, label, batch), graph_connectivity(near, codes, label), isolated_labels(points, label, batch, by_label), kbet(near, codes, label, batch),
     ]
     out = parts[0]
     for p in parts[1:]:
