@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import trimmed
+
 WIDTH = 5
 SIMILARITY = 0.8
 #: Bits, of 128, by which fingerprints of similar windows may differ, and the blocks of the index.
@@ -249,5 +251,5 @@ def _clean(items, text_at: int, least: float, width: int):
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """The rows of `docs` that hold no item, columns as they were."""
     for block in _blocks(items, item_col, item_text):
-        docs = docs.mapInArrow(_clean(block, docs.columns.index(text_col), least, width), docs.schema)
+        docs = docs.mapInArrow(trimmed(_clean(block, docs.columns.index(text_col), least, width)), docs.schema)
     return docs

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import scratch_path, spare_name
+from strandlake.llm.common import scratch_path, spare_name, trimmed
 
 #: Bytes of text that one task's trie may hold before it spills subtrees.
 TRIE_BYTES = 96 << 20
@@ -299,9 +299,9 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _owners(pairs: DataFrame, sign: int, budget: int) -> DataFrame:
-    folded = pairs.mapInArrow(_fold(sign, True, budget), "rep long, slot long, body binary, best_id long, best_tag long, n long")
+    folded = pairs.mapInArrow(trimmed(_fold(sign, True, budget)), "rep long, slot long, body binary, best_id long, best_tag long, n long")
     folder = scratch_path(pairs.sparkSession, "subtrees")
-    return folded.repartition("slot").mapInArrow(_own(budget, folder), "rep long, best_id long, best_tag long, n long")
+    return folded.repartition("slot").mapInArrow(trimmed(_own(budget, folder)), "rep long, best_id long, best_tag long, n long")
 
 
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", budget: int = TRIE_BYTES) -> DataFrame:
@@ -312,7 +312,7 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     sign = {"max": 1, "min": -1}[keep]
     pairs = _input(docs, id_col, text_col)
-    light = pairs.mapInArrow(_fold(sign, False, budget), "tag long, rep long, id long, sha binary")
+    light = pairs.mapInArrow(trimmed(_fold(sign, False, budget)), "tag long, rep long, id long, sha binary")
     owned = _owners(pairs, sign, budget)
     return light.join(owned, "rep").select(
         F.col("id").alias("doc_id"),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import materialise, spare_name
+from strandlake.llm.common import materialise, spare_name, trimmed
 
 #: Labelled rows that a fit uses at most.
 MAX_ROWS = 100_000
@@ -31,6 +31,8 @@ FEATURES = 384
 WIDTHS = (0.5, 1.0, 2.0)
 RIDGE = 0.3
 FOLDS = 4
+#: Rows whose features are held at a time.
+_ROWS = 1024
 
 _KIND = np.zeros(256, np.int64)
 _KIND[list(b"abcdefghijklmnopqrstuvwxyz")] = 1
@@ -103,7 +105,8 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(x), self.levels[0])
-        return np.clip(np.interp(self.expand(x) @ self.weights, self.knots, self.levels), 0, 1)
+        ridge = [self.expand(x[i : i + _ROWS]) @ self.weights for i in range(0, len(x), _ROWS)]
+        return np.clip(np.interp(np.concatenate([np.zeros(0), *ridge]), self.knots, self.levels), 0, 1)
 
 
 def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +144,18 @@ def _describe(batches):
         )
 
 
+def _cut(batches):
+    """The batches, in slices of at most _ROWS rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(i, _ROWS)
+
+
+def _rows_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The statistics of a batch that has rows."""
+    return batch.column(2).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+
+
 def _equations(model: Model):
     """Kernel: a task's part of the normal equations of each fold, a row of the matrix at a time."""
 
@@ -148,10 +163,9 @@ def _equations(model: Model):
         from pyspark import TaskContext
 
         part, sums = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            x = np.array(batch.column(2).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+        for batch in _cut(batches):
             y, fold = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            z = model.expand(x) if len(x) else None
+            z = model.expand(_rows_of(batch))
             for f in np.unique(fold):
                 a = np.concatenate([z[fold == f], y[fold == f][:, None]], axis=1)
                 sums[f] = sums.get(f, 0) + a.T @ a
@@ -183,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     picked = texts.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select(
         "y", F.pmod(F.xxhash64("__id", F.lit(seed + 1)), F.lit(FOLDS)).cast("int").alias("fold"), "__body"
     )
-    described = materialise(picked.mapInArrow(_describe, "y double, fold int, x array<float>"), "described")
+    described = materialise(picked.mapInArrow(trimmed(_describe), "y double, fold int, x array<float>"), "described")
     moments = described.agg(F.count("*").alias("n"), F.avg("y").alias("y"), F.min("y").alias("low"), F.max("y").alias("high")).first()
     if not moments["n"] or moments["low"] == moments["high"]:
         return Model(None, None, None, None, None, None, [0.5 if moments["y"] is None else float(moments["y"])])
@@ -192,12 +206,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     per = FEATURES // len(WIDTHS)
     omega = np.concatenate([rng.normal(0, 1 / (w * math.sqrt(len(mean))), (len(mean), per)) for w in WIDTHS], axis=1)
     model = Model(mean, scale, omega, rng.uniform(0, 2 * math.pi, omega.shape[1]), None, None, None)
-    parts = described.mapInArrow(_equations(model), "part int, fold int, row int, v array<double>")
+    parts = described.mapInArrow(trimmed(_equations(model)), "part int, fold int, row int, v array<double>")
     summed = parts.groupBy("fold", "row").applyInArrow(_add_rows, "fold int, row int, v array<double>").orderBy("fold", "row").collect()
     by_fold = {f: np.array([r["v"] for r in summed if r["fold"] == f]) for f in {r["fold"] for r in summed}}
     whole = sum(by_fold.values())
     apart = {f: _solve(whole - m) for f, m in by_fold.items()}
-    pairs = described.mapInArrow(_out_of_fold(model, apart), "s double, y double").collect()
+    pairs = described.mapInArrow(trimmed(_out_of_fold(model, apart)), "s double, y double").collect()
     model.weights = _solve(whole)
     model.knots, model.levels = isotonic(np.array([r[0] for r in pairs]), np.array([r[1] for r in pairs]))
     return model
@@ -213,25 +227,26 @@ def _out_of_fold(model: Model, apart: dict):
     """Kernel: each fitted row's ridge score by the weights that did not see its fold."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                z = model.expand(np.array(batch.column(2).to_pylist(), np.float64))
-                fold = batch.column(1).to_numpy()
-                s = np.zeros(len(z))
-                for f, w in apart.items():
-                    s[fold == f] = z[fold == f] @ w
-                yield pa.RecordBatch.from_arrays([pa.array(s), batch.column(0)], names=["s", "y"])
+        for batch in _cut(batches):
+            z = model.expand(_rows_of(batch))
+            fold = batch.column(1).to_numpy()
+            s = np.zeros(len(z))
+            for f, w in apart.items():
+                s[fold == f] = z[fold == f] @ w
+            yield pa.RecordBatch.from_arrays([pa.array(s), batch.column(0)], names=["s", "y"])
 
     return run
 
 
-def _scores(model: Model, name: str):
+def _scores(model: Model, name: str, at: int, width: int):
+    """Kernel: the first `width` columns and the score of column `at`, a text or its bytes."""
+
     def run(batches):
         for batch in batches:
-            bodies = batch.column(batch.num_columns - 1)
-            x = np.array([statistics(bodies[i].as_py()) for i in range(batch.num_rows)], np.float64).reshape(batch.num_rows, N_STATISTICS)
+            bodies = batch.column(at).cast(pa.large_binary())
+            x = np.array([statistics(bodies[i].as_py() or b"") for i in range(batch.num_rows)], np.float64).reshape(batch.num_rows, N_STATISTICS)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(model.score(x), pa.float64())], names=[*batch.schema.names[:-1], name]
+                [*batch.columns[:width], pa.array(model.score(x), pa.float64())], names=[*batch.schema.names[:width], name]
             )
 
     return run
@@ -240,7 +255,12 @@ def _scores(model: Model, name: str):
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
     """All columns of `docs`, plus the calibrated probability of label 1, double, under a name that `docs` does not have."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.select("*", _body(text_col, spare_name(docs, "__body"))).mapInArrow(_scores(model, name), schema)
+    # A text goes to the worker once: its own column is read, where that is a string.
+    own = [i for i, f in enumerate(docs.schema.fields) if f.name == text_col and isinstance(f.dataType, T.StringType)]
+    width = len(docs.columns)
+    if len(own) != 1:
+        docs, own = docs.select("*", _body(text_col, spare_name(docs, "__body"))), [width]
+    return docs.mapInArrow(trimmed(_scores(model, name, own[0], width)), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import lookup_groups, materialise, min_label_components, spare_name
+from strandlake.llm.common import lookup_groups, materialise, pair_components, release, spare_name, trimmed
 from strandlake.llm.simhash_dedup import Groups, shingle_hashes
 
 WIDTH = 5
@@ -314,11 +314,13 @@ def _similar(pairs: DataFrame, tagged: DataFrame, prints: DataFrame, least: floa
     pairs = materialise(both.filter((F.least("left.m", "right.m") < WIDE_SET) | (far <= WIDE_RADIUS)).select("a", "b"), f"{name}_near")
     total = pairs.count()
     wanted = pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct()
-    sets = _picked(tagged, wanted, "tag", "left_semi", f"{name}_wanted").mapInArrow(_sets(width), "tag long, hashes array<long>")
+    sets = _picked(tagged, wanted, "tag", "left_semi", f"{name}_wanted").mapInArrow(trimmed(_sets(width)), "tag long, hashes array<long>")
     sets = materialise(sets, f"{name}_sets")
     rows = materialise(_attach(pairs, "b", "a", sets, "hashes", "right", total), f"{name}_rows")
     rows = _attach(rows, "a", "b", sets, "hashes", "left", total).select("a", "b", "left", "right")
-    return materialise(rows.mapInArrow(_verify(least), "a long, b long"), name)
+    good = materialise(rows.mapInArrow(trimmed(_verify(least)), "a long, b long"), name)
+    release(pairs.sparkSession)
+    return good
 
 
 def _within(hi: Column, lo: Column, m: Column, other: str, radius: int, least: float) -> Column:
@@ -337,25 +339,20 @@ def similar_labels(tagged: DataFrame, prints: DataFrame, radius: int = RADIUS, l
     shared = materialise(lookup_groups(rows, cells, "key", "n", sums["n"] or 0, "inner"), "shared")
     star = shared.filter(F.col("tag") != F.col("pivot.tag")).filter(_within(F.col("hi"), F.col("lo"), F.col("m"), "pivot", radius, least))
     first = _similar(star.select(F.col("tag").alias("a"), F.col("pivot.tag").alias("b")), tagged, prints, least, width, "similar")
-    cell = F.concat_ws(":", "a", "b").alias("cell")
-
-    def members(pairs):
-        return pairs.select(F.col("a").alias("node"), cell).unionByName(pairs.select(F.col("b").alias("node"), cell))
-
-    labels = min_label_components(members(first))
+    labels = pair_components(first)
     marked = shared.drop("pivot").join(labels.withColumnRenamed("node", "tag"), "tag", "left").withColumn("label", F.coalesce("label", "tag"))
     marked = materialise(marked, "marked")
     mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     fields = ("cell", "hi", "lo", "m", "tag", "label", "asks")
     small = marked.filter(F.col("n") <= cell_rows).join(mixed, "key", "left_semi").withColumn("asks", F.lit(True)).withColumn("cell", F.col("key"))
     small = small.repartition("cell").sortWithinPartitions("cell").select(*fields)
-    rest = _similar(small.mapInArrow(_cell_pairs(radius, least), "a long, b long"), tagged, prints, least, width, "also_similar")
+    rest = _similar(small.mapInArrow(trimmed(_cell_pairs(radius, least)), "a long, b long"), tagged, prints, least, width, "also_similar")
     large = marked.filter(F.col("n") > cell_rows)
     if large.limit(1).count():
         rest = rest.unionByName(_large_cells(large, tagged, least, width))
     if not rest.limit(1).count():
         return labels
-    return min_label_components(members(rest).unionByName(labels.select("node", F.col("label").cast("string").alias("cell"))))
+    return pair_components(rest.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
 
 def _large_cells(marked: DataFrame, tagged: DataFrame, least: float, width: int) -> DataFrame:
@@ -367,7 +364,7 @@ def _large_cells(marked: DataFrame, tagged: DataFrame, least: float, width: int)
     main = materialise(main.filter("of > most").select("key", "main", "of", (F.col("of") - F.col("most")).alias("asking")), "main_labels")
     sized = lookup_groups(rows, main, "key", "of", rows.count(), "inner")
     wanted = sized.select("tag").distinct()
-    sets = _picked(tagged, wanted, "tag", "left_semi", "large_wanted").mapInArrow(_sets(width), "tag long, hashes array<long>")
+    sets = _picked(tagged, wanted, "tag", "left_semi", "large_wanted").mapInArrow(trimmed(_sets(width)), "tag long, hashes array<long>")
     held = materialise(sized.join(materialise(sets, "large_sets"), "tag"), "large_rows")
     ask = F.col("label") != F.col("main")
     blocks, chunks = F.ceil(F.col("of") / BLOCK_ROWS).cast("int"), F.ceil(F.col("asking") / BLOCK_ROWS).cast("int")
@@ -381,7 +378,7 @@ def _large_cells(marked: DataFrame, tagged: DataFrame, least: float, width: int)
     )
     dealt = own.unionByName(asking).withColumn("cell", F.xxhash64("key", "block", "chunk"))
     dealt = dealt.repartition("cell").sortWithinPartitions("cell").select("cell", "tag", "label", "asks", "hashes")
-    return materialise(dealt.mapInArrow(_block_links(least), "a long, b long"), "large_links")
+    return materialise(dealt.mapInArrow(trimmed(_block_links(least)), "a long, b long"), "large_links")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, least: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
@@ -392,7 +389,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("body")
     tagged = docs.select(F.monotonically_increasing_id().alias("tag"), body)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), body)
-    prints = materialise(pairs.mapInArrow(_fingerprints(width), "tag long, id long, hi long, lo long, m long, keys array<long>, wide array<long>"), "wide_prints")
+    prints = materialise(pairs.mapInArrow(trimmed(_fingerprints(width)), "tag long, id long, hi long, lo long, m long, keys array<long>, wide array<long>"), "wide_prints")
     labels = similar_labels(tagged, prints, radius, least, width)
     rank = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("rank"), "tag")
     linked = materialise(labels.withColumnRenamed("node", "tag").join(prints.select("tag", "id"), "tag"), "similar_groups")

@@ -50,3 +50,16 @@ def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
 def test_registry_has_eleven_queries():
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+
+
+def test_the_quality_stage_sends_a_text_once(spark):
+    """No copy of the text stands beside it in the plan of the scoring; other types and cases of the name still work."""
+    from strandlake.llm.quality import Model, score_texts
+
+    model = Model(None, None, None, None, None, None, [0.5])
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
+    assert "encode" not in score_texts(docs, model)._jdf.queryExecution().toString()
+    assert [r["__score"] for r in score_texts(docs, model).collect()] == [0.5] * 3
+    for odd in (docs.withColumnRenamed("text", "TEXT"), docs.selectExpr("doc_id", "cast(text AS binary) AS text")):
+        scored = score_texts(odd, model)
+        assert scored.columns == [*odd.columns, "__score"] and scored.count() == 3

@@ -157,3 +157,37 @@ def test_a_long_chain_is_one_component(spark):
     rows = [(k * 7919 % n, f"c{k}") for k in range(n)] + [((k + 1) * 7919 % n, f"c{k}") for k in range(n - 1)] + [(1000, "x"), (1001, "x"), (2000, "y")]
     got = {r.node: r.label for r in min_label_components(spark.createDataFrame(rows, "node long, cell string")).collect()}
     assert got == {**{k: 0 for k in range(n)}, 1000: 1000, 1001: 1000, 2000: 2000}
+
+
+def test_components_of_pairs_equal_those_of_memberships(spark):
+    """Chains, stars, loops and repeated links: the same labels, and no row for what only meets itself."""
+    from strandlake.llm.common import min_label_components, pair_components
+
+    rng = random.Random(6)
+    links = [(k * 7919 % 400, (k + 1) * 7919 % 400) for k in range(399)]
+    links += [(1000 + 3 * k, 2999) for k in range(300)] + [(3000 + rng.randrange(500), 3000 + rng.randrange(500)) for _ in range(260)]
+    links += links[:5] + [(b, a) for a, b in links[400:420]] + [(9000, 9000)]
+    pairs = spark.createDataFrame(links, "a long, b long")
+    members = [(x, f"{i}") for i, link in enumerate(links) if link[0] != link[1] for x in link]
+    want = {r.node: r.label for r in min_label_components(spark.createDataFrame(members, "node long, cell string")).collect()}
+    got = pair_components(pairs).collect()
+    assert len(got) == len(want) and {r.node: r.label for r in got} == want
+    assert pair_components(pairs.limit(0)).collect() == []
+
+
+def test_scratch_tables_are_written_in_small_batches(spark):
+    """Texts of 40 MB in all reach the worker in batches of about 8 MB, and the session's setting comes back."""
+    import pyarrow as pa
+
+    from strandlake.llm.common import BATCH_BYTES, materialise, trimmed
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    texts = spark.range(0, 4000, 1, 1).selectExpr("repeat(cast(id % 10 AS string), 10000) AS text")
+    got = [r.n for r in materialise(texts.mapInArrow(trimmed(sizes), "n long"), "sizes").collect()]
+    assert sum(got) >= 40_000_000 and max(got) < 1.5 * BATCH_BYTES and spark.conf.get(key) == before
